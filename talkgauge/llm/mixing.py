@@ -91,10 +91,10 @@ def _draws(keys: pd.Series, ties: pd.Series, salt: int) -> np.ndarray:
 
 
 def _rounding(salt: int, last: bool, first: bool = False):
-    """A node of the tree: rounds its rows in the order of size (so that few words move far), then id."""
+    """A node of the tree: rounds its rows from the largest to the smallest, so that a small one is left over."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "row_key", "tie"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "row_key", "tie"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         if first:  # repeated ids are told apart by their number among equals
             rows["tie"] = rows.groupby(["size", "row_key"]).cumcount()
         draws = _draws(rows["row_key"], rows["tie"], salt)
