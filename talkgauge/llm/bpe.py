@@ -15,6 +15,7 @@ import base64
 import hashlib
 import struct
 import sys
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,13 +128,13 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
 
 
-def _codec(parts) -> Codec:
+def _codec(parts, key: str) -> Codec:
     """One codec a worker process and vocabulary, kept from task to task."""
     held = sys.__dict__.setdefault("_bpe_codecs", {})
-    if parts.id not in held:
+    if key not in held:
         held.clear()
-        held[parts.id] = Codec(*parts.value)
-    return held[parts.id]
+        held[key] = Codec(*parts.value)
+    return held[key]
 
 
 def _shipped(df: DataFrame, ranks_path: str, pattern: str):
@@ -145,13 +146,13 @@ def _shipped(df: DataFrame, ranks_path: str, pattern: str):
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col``: the text's token ids as unsigned 32-bit little-endian integers."""
-    parts = _shipped(docs, ranks_path, pattern)
+    parts, key = _shipped(docs, ranks_path, pattern), uuid.uuid4().hex
     docs = without(docs, ids_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.BinaryType())])
     at = docs.columns.index(text_col)
 
     def run(batches):
-        codec = _codec(parts)
+        codec = _codec(parts, key)
         for b in batches:
             start, size, ids = 0, 0, []
             for i, text in enumerate(b.column(at).to_pylist()):
@@ -167,7 +168,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_cols: list[str], ids_col: str = "ids") -> DataFrame:
     """``id_cols`` with n_tokens, ids_sha256 (of the decimal ids joined by a space), the decoded bytes and their sha256."""
-    parts = _shipped(encoded, ranks_path, pattern)
+    parts, key = _shipped(encoded, ranks_path, pattern), uuid.uuid4().hex
     kept = encoded.select(*id_cols, ids_col)
     schema = T.StructType(
         [
@@ -180,7 +181,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_cols: list[str]
     )
 
     def run(batches):
-        codec = _codec(parts)
+        codec = _codec(parts, key)
         names = [f.name for f in schema.fields]
         for b in batches:
             start, size, rows = 0, 0, []
