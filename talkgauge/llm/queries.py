@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import bpe, langid, mixing, mpegts, packing
+from talkgauge.llm import bpe, embedding_dedup, langid, mixing, mpegts, ngram_join, packing
 from talkgauge.llm.common import read_table
 
 
@@ -42,6 +42,14 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(read_table(spark, sf_dir, "embeddings"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -58,7 +66,7 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_byte_bpe, op4_media_columns, op7_source_mixing, op8_language_id, op10_token_packing)
+    named = (op3_byte_bpe, op4_media_columns, op5_embedding_dedup, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op10_token_packing)
     return {f.__name__: f for f in named}
 
 
