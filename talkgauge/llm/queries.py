@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import bpe, embedding_dedup, langid, mixing, mpegts, ngram_join, packing
+from talkgauge.llm import bpe, embedding_dedup, langid, mixing, mpegts, ngram_join, packing, pii
 from talkgauge.llm.common import read_table
 
 
@@ -18,6 +18,12 @@ def _tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(F.col("base_spans"), k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base_spans")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _tokenizer()
     encoded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
@@ -66,7 +72,7 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_byte_bpe, op4_media_columns, op5_embedding_dedup, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op10_token_packing)
+    named = (op1_pii, op3_byte_bpe, op4_media_columns, op5_embedding_dedup, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op10_token_packing)
     return {f.__name__: f for f in named}
 
 
