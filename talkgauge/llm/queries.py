@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import bpe, embedding_dedup, langid, mixing, mpegts, ngram_join, packing, pii
+from talkgauge.llm import bpe, embedding_dedup, langid, licenses, mixing, mpegts, ngram_join, packing, pii, warc
 from talkgauge.llm.common import read_table
 
 
@@ -24,6 +24,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base_spans")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    each = F.transform("licenses", lambda x: F.concat_ws(":", x["part"], x["license"], F.round(x["dice"], 4).cast("string")))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_join(each, ",").alias("matches"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _tokenizer()
     encoded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
@@ -67,12 +74,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    page = lambda c: F.floor(F.col(c) / 2).cast("long")
+    text = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
+    return found.select(page("record_id").alias("page_id"), "canonical_url", page("refers_to").alias("refers_to"), "validator", "digest", text.alias("headers"))
+
+
 def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_pii, op3_byte_bpe, op4_media_columns, op5_embedding_dedup, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op10_token_packing)
+    named = (op1_pii, op2_license_scan, op3_byte_bpe, op4_media_columns, op5_embedding_dedup, op6_ngram_jaccard, op7_source_mixing, op8_language_id, op9_warc_revisits, op10_token_packing)
     return {f.__name__: f for f in named}
 
 
