@@ -19,6 +19,12 @@ PARAGRAPH_BREAK = to_java(r"\n\s*\n")
 #: Fixed value: paragraphs of a text whose language is looked at.
 SAMPLED_PARAGRAPHS = 200
 
+# Elements whose content a page doesn't show, and elements that end a paragraph.
+HIDDEN_TAGS = "script style noscript template svg head".split()
+BLOCKS = (
+    "p div li h[1-6] br tr td th section article header footer nav main aside blockquote pre dt dd figcaption table ul ol form label button"
+).split()
+
 # Frequent words of Hindi in Roman script (none that English also has), and spelling variants.
 ROMAN_HINDI = frozenset(
     """
@@ -74,6 +80,13 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, PARAGRAPH_BREAK, -1), lambda p: ~is_blank(p))
 
 
+def page_text(markup: Column) -> Column:
+    """What a reader sees of a page, paragraph by paragraph; entities stay as they are written."""
+    hidden = rf"(?is)<({'|'.join(HIDDEN_TAGS)})\b.*?</\1\s*>|<!--.*?-->"
+    broken = F.regexp_replace(F.regexp_replace(markup, hidden, " "), rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n")
+    return F.regexp_replace(broken, "<[^>]+>", " ")
+
+
 def _collapsed(text: Column) -> Column:
     return stripped(F.regexp_replace(text, f"{SPACE}+", " "))
 
