@@ -40,3 +40,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without its own columns of these names (in any case), which the operator is about to add."""
     low = {n.lower() for n in names}
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
+
+
+#: Bytes of one batch that Spark hands to Python: with rows alone bounded, a batch of very long texts has no limit.
+ARROW_BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes (a setting of the session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import written
+from talkgauge.llm.common import mapped, written
 from talkgauge.llm.components import components
 
 #: Vectors of the sample on which axes and tile borders are fitted, about.
@@ -205,7 +205,7 @@ def _links_of(distinct: DataFrame, dim: int, threshold: float, tile: int) -> Dat
     lead = np.sort((sample @ axes[:, :1])[:, 0])
     borders = np.unique(lead[np.linspace(0, len(lead) - 1, min(wanted, len(lead)) + 1).astype(int)[1:-1]])
     gap = float(np.sqrt(2 - 2 * threshold)) + 1e-9 if threshold > 0 else 3.0
-    placed = written(distinct.mapInArrow(_tiles_of(axes, borders), "embedding array<double>, vec_id long, copies long, stretch int, lead double"))
+    placed = written(mapped(distinct, _tiles_of(axes, borders), "embedding array<double>, vec_id long, copies long, stretch int, lead double"))
     spans = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.min("lead").alias("lo"), F.max("lead").alias("hi")).orderBy("stretch").collect()
     # Tiles: (stretch, slice). Their table has a row per `tile` vectors and per stretch; it is bounded by n / tile.
     most = max(tile, -(-n // wanted) * 2)

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import without
+from talkgauge.llm.common import mapped, without
 
 DIM = 1024
 NGRAM = 3
 SEED = 20_817
 UNDETERMINED = "und"
 #: Texts whose n-grams are looked at together, in characters (one longer text is taken alone).
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 200_000
 
 
 class Letters:
@@ -57,8 +57,8 @@ class Letters:
     def bundle(self, counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """For each row of counts, the sum of the n-grams' vectors, so many of each."""
         out = np.zeros((len(counts), self.dim), np.float32)
-        for lo in range(0, len(grams), 4096):
-            out += counts[:, lo : lo + 4096].astype(np.float32) @ self.bind(grams[lo : lo + 4096]).astype(np.float32)
+        for lo in range(0, len(grams), 2048):
+            out += counts[:, lo : lo + 2048].astype(np.float32) @ self.bind(grams[lo : lo + 2048]).astype(np.float32)
         return out
 
 
@@ -144,7 +144,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
         for name, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], names=["name", "k", "v"])
 
-    rows = labelled.select(text_col, lang_col).dropna().mapInArrow(run, "name string, k int, v long")
+    rows = mapped(labelled.select(text_col, lang_col).dropna(), run, "name string, k int, v long")
     out: dict[str, np.ndarray] = {}
     for name, k, v in rows.groupBy("name", "k").agg(F.sum("v").alias("v")).collect():
         out.setdefault(name, np.zeros(dim))[k] = v
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 score[lo:hi] = np.where(has, np.clip(cosine[np.arange(hi - lo), best], 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred.tolist(), pa.string()), pa.array(score)], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def train_split(doc_id: str = "doc_id", folds: int = 5):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import without
+from talkgauge.llm.common import mapped, without
 
 # Fixed values of ISO/IEC 13818-1 and of this layout.
 PACKET, SYNC = 188, 0x47
@@ -188,7 +188,7 @@ def _map(df: DataFrame, schema: T.StructType, at: int, row, drop: bool):
                     yield pa.RecordBatch.from_arrays([*[c.slice(start, i + 1 - start) for c in rest], *own], names=names)
                     start, size, rows = i + 1, 0, []
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def store(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:

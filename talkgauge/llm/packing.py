@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from talkgauge.llm.common import mapped
+
 ROW = 2048
 PAD, END, OFFSET = 0, 1, 3
 WINDOW_BYTES = 16 << 20
@@ -127,7 +129,7 @@ def pack(docs: DataFrame, row: int = ROW, window_bytes: int = WINDOW_BYTES, text
         if ids:
             yield from lines(ids, owners)
 
-    return docs.select(id_col, text_col).mapInArrow(
+    return mapped(docs.select(id_col, text_col), 
         run, "ids binary, n_ids int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, pieces array<int>, last array<boolean>"
     )
 
