@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import without
+from talkgauge.llm.common import mapped, without
 
 #: A worker forgets the pre-tokens it has seen beyond so many; they are then encoded again.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 500_000
 #: Bytes of ids in one outgoing batch.
 BATCH_BYTES = 16 << 20
 
@@ -92,8 +92,6 @@ class Codec:
         self.seen: dict[str, bytes] = {}
 
     def _learn(self, pretokens: set[str]) -> None:
-        if len(self.seen) > CACHE_SIZE:
-            self.seen.clear()
         rest = []
         for t in pretokens:
             raw = t.encode()
@@ -101,8 +99,15 @@ class Codec:
                 self.seen[t] = struct.pack("<I", rank)
             else:
                 rest.append((t, raw.decode("latin-1").translate(self.to_letters)))
-        for (t, _), ids in zip(rest, self.sp.encode([m for _, m in rest], num_threads=1), strict=True):
-            self.seen[t] = struct.pack(f"<{len(ids)}I", *[self.ranks[i] for i in ids])
+        # Pre-tokens are encoded in one call. A line break is outside the byte alphabet: it is the unknown
+        # piece (id 0), which no merge crosses.
+        at, own = 0, []
+        for i in [*self.sp.encode("\n".join(m for _, m in rest)), 0] if rest else ():
+            if i:
+                own.append(self.ranks[i])
+            else:
+                self.seen[rest[at][0]] = struct.pack(f"<{len(own)}I", *own)
+                at, own = at + 1, []
 
     def encode(self, text: str | None) -> bytes:
         """The ids, four little-endian bytes each."""
@@ -120,8 +125,7 @@ class Codec:
         except KeyError:
             if len(self.seen) > CACHE_SIZE:
                 self.seen.clear()
-            kinds = set(cut)
-            self._learn(kinds - self.seen.keys())
+            self._learn({t for t in cut if t not in self.seen})
             return b"".join(map(self.seen.__getitem__, cut))
 
     def decode(self, ids: bytes) -> bytes:
@@ -163,7 +167,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, ids_col])
                     start, size, ids = i + 1, 0, []
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_cols: list[str], ids_col: str = "ids") -> DataFrame:
@@ -197,4 +201,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_cols: list[str]
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], names=names)
                     start, size, rows = i + 1, 0, []
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
