@@ -14,6 +14,7 @@ each, with the same result. A template matches at most once per part; ties go to
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -91,7 +92,7 @@ def template_words(text: str) -> list[str]:
 def bounds(size: int, threshold: float) -> tuple[int, int]:
     """Least and greatest size that can reach the threshold against ``size``."""
     lo, hi = size * threshold / (2 - threshold), size * (2 - threshold) / threshold
-    return int(-(-lo // 1)), int(hi)
+    return math.ceil(lo - 1e-9), math.floor(hi + 1e-9)
 
 
 def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple]:
@@ -164,7 +165,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, tex
     """``docs`` with licenses: (license, part, dice) of every matching part, by part; empty if there is none."""
     docs = without(docs, "licenses")
     found = matches(docs, threshold, templates, text_col, id_col).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("part", "license", "dice"))).alias("licenses"))
-    found = found.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "licenses")
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("of_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("of_key")), "left")
+    found = found.select(F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_key"), "licenses")
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_of_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_of_key")), "left")
     none = F.array().cast("array<struct<part:string,license:string,dice:double>>")
     return joined.select(*[docs[c] for c in docs.columns], F.coalesce("licenses", none).alias("licenses"))
