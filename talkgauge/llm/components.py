@@ -40,3 +40,18 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
     nodes = ends.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return written(nodes.unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+
+
+def labelled(rows: DataFrame, column: str, label: str, groups: DataFrame) -> DataFrame:
+    """``rows`` with the component of ``column``; a node without links is its own component."""
+    joined = rows.join(groups.select(F.col("node").alias("of"), F.col("component").alias("in")), F.col(column) == F.col("of"), "left")
+    return joined.withColumn(label, F.coalesce("in", column)).drop("of", "in")
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``groups`` after ``links`` (a, b) are added: only components are linked, not all nodes again."""
+    between = labelled(labelled(links, "a", "in_a", groups), "b", "in_b", groups).select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))
+    moved = components(between).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    old = groups.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = moved.join(groups, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return written(old.unionByName(new))

@@ -164,8 +164,8 @@ def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
 
     Rows are found again by their id; rows of one id are lent the copies of all, so each is repeated by its share.
     """
-    mixed = mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("copies_"), F.count(F.lit(1)).alias("rows_"))
-    mixed = written(mixed.filter("copies_ > 0").withColumnRenamed("doc_id", "mixed_id"))
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["mixed_id"]))
-    times = F.ceil(F.col("copies_") / F.col("rows_")).cast("int")
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    mixed = mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    mixed = written(mixed.filter("_copies > 0").withColumnRenamed("doc_id", "_mixed_id"))
+    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_mixed_id"]))
+    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])

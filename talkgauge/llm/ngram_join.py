@@ -8,8 +8,8 @@ prefix n-grams; the length filter and the positional filter drop pairs in the jo
 drops those whose suffixes, split at fixed pivots, differ in too many places by the sizes of their parts,
 and each pair that is left is verified once on the whole sets.
 
-Pairs within a group of copies are not all made. First every text is paired with one leader per length
-band of a prefix n-gram, and the links found are closed to components. Then, for n-grams that still hold
+Pairs within a group of copies are not all made. First every text is paired with a few leaders of its
+prefix n-grams in its band of lengths, and the links found are closed to components. Then, for n-grams that still hold
 several components, exactly the pairs across components are made, so that no link between components is
 lost; texts of one component need no further link to each other. The components are those of all links.
 
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import written
-from talkgauge.llm.components import components
+from talkgauge.llm.common import mapped, written
+from talkgauge.llm.components import components, labelled, merged
 from talkgauge.llm.shingles import Shingler, mixed
 
 #: Counters of the n-gram sketch, and bits of the filter over the ids whose sets are wanted: fixed sizes.
@@ -35,6 +35,8 @@ SKETCH = 1 << 18
 FILTER_BITS = 1 << 23
 #: Parts into which the suffix filter splits a set.
 PARTS = 128
+#: Times that the best pair between two components is tried before all that are left are verified.
+ROUNDS = 2
 
 
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +138,7 @@ def _filter_bits(ids: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], names=["word", "bit"])
 
     out = np.zeros(FILTER_BITS >> 5, np.uint32)
-    words = ids.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    words = mapped(ids, run, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
     out[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).astype(np.uint32)
     return out.tobytes()
 
@@ -149,11 +151,10 @@ def _suffix_filter(percent: int):
             n, m = (np.asarray(b.column(c)).astype(np.int64) for c in ("n_a", "n_b"))
             parts = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("parts_a", "parts_b")]
             need = -(-percent * (n + m) // (100 + percent))
-            differ = np.abs(parts[0] - parts[1]).sum(1)
-            keep = (differ <= n + m - 2 * need) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            room = n + m - 2 * need - np.abs(parts[0] - parts[1]).sum(1)
             same = np.asarray(b.column("same"))
-            keep |= same
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same)], names=["a", "b", "same"]).filter(pa.array(keep))
+            keep = same | (room >= 0) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same), pa.array(room / (n + m))], names=["a", "b", "same", "room"]).filter(pa.array(keep))
 
     return run
 
@@ -178,62 +179,79 @@ def _verify(percent: int):
 class _Join:
     def __init__(self, texts: DataFrame, k: int, percent: int):
         self.texts, self.k, self.percent = texts, k, percent
-        first = written(texts.mapInArrow(_features(k), "doc_id long, n int, sig1 long, sig2 long, parts binary, bucket int, texts long"))
+        first = written(mapped(texts, _features(k), "doc_id long, n int, sig1 long, sig2 long, parts binary, bucket int, texts long"))
         self.features = first.filter("bucket is null").drop("bucket", "texts")
         sketch = np.zeros(SKETCH, np.int64)
         counts = first.filter("bucket is not null").groupBy("bucket").agg(F.sum("texts").alias("texts")).toArrow()
         sketch[np.asarray(counts.column("bucket"))] = np.asarray(counts.column("texts"))
         self.sketch = texts.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) of ``pairs`` that are similar."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) that the suffix filter leaves, with whether the sets are the same, and the room the filter leaves."""
         feature = lambda x: self.features.select(F.col("doc_id").alias(f"of_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig1", "sig2", "parts")])
         known = pairs.join(feature("a"), F.col("a") == F.col("of_a")).join(feature("b"), F.col("b") == F.col("of_b"))
         same = (F.col("n_a") == F.col("n_b")) & (F.col("sig1_a") == F.col("sig1_b")) & (F.col("sig2_a") == F.col("sig2_b"))
         known = known.select("a", "b", "n_a", "n_b", "parts_a", "parts_b", same.alias("same"))
-        likely = written(known.mapInArrow(_suffix_filter(self.percent), "a long, b long, same boolean"))
-        rest = likely.filter("not same").select("a", "b").distinct()
-        bits = _filter_bits(rest.select("a").unionByName(rest.select(F.col("b").alias("a"))))
-        good = likely.filter("same").select("a", "b")
+        return written(mapped(known, _suffix_filter(self.percent), "a long, b long, same boolean, room double"))
+
+    def sets_of(self, pairs: DataFrame) -> DataFrame | None:
+        """(of, set) of every text in ``pairs`` (and of some others, as the filter over ids lets through); None without pairs."""
+        rest = pairs.filter("not same")
+        bits = _filter_bits(rest.select("a").unionByName(rest.select(F.col("b").alias("a"))).distinct())
         if not any(bits):
-            return good
+            return None
         shared = self.texts.sparkSession.sparkContext.broadcast(bits)
-        sets = written(self.texts.mapInArrow(_wanted_sets(self.k, shared), "of long, set binary"))
+        return written(mapped(self.texts, _wanted_sets(self.k, shared), "of long, set binary"))
+
+    def verified(self, pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
+        """The (a, b) of likely ``pairs`` that are similar."""
+        good = pairs.filter("same").select("a", "b")
+        if sets is None:
+            return good
+        rest = pairs.filter("not same").select("a", "b").distinct()
         with_b = rest.join(sets.withColumnRenamed("set", "set_b"), F.col("b") == F.col("of")).drop("of")
         both = with_b.join(sets.withColumnRenamed("set", "set_a"), F.col("a") == F.col("of")).drop("of")
-        return good.unionByName(both.mapInArrow(_verify(self.percent), "a long, b long"))
+        return written(good.unionByName(mapped(both, _verify(self.percent), "a long, b long")))
 
-    def links(self) -> DataFrame:
-        """Links (a, b) whose components are those of all links."""
+    def groups(self) -> DataFrame:
+        """(node, component) of every text that has a link."""
         t = self.percent
         # Copies with the same set: one link to the first of them each.
         sets = ["n", "sig1", "sig2"]
         whole = self.features.filter("n > 0 and doc_id is not null")
         firsts = written(whole.groupBy(*sets).agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts"))
-        links = written(whole.join(firsts, sets).select("a", F.col("doc_id").alias("b")).filter("a <> b"))
-        prefixes = self.texts.mapInArrow(_prefixes(self.k, t, self.sketch), "gram long, doc_id long, n int, place int")
+        groups = components(whole.join(firsts, sets).select("a", F.col("doc_id").alias("b")).filter("a <> b"))
+        prefixes = mapped(self.texts, _prefixes(self.k, t, self.sketch), "gram long, doc_id long, n int, place int")
         shared = written(prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("gram"))
-        band = lambda shift: F.floor(F.log(F.col("n").cast("double")) / math.log(100 / t) + shift)
+        band = lambda shift: F.floor(F.log(F.col("n").cast("double")) / math.log(100 / t) + shift).cast("int")
         active = written(prefixes.join(shared, "gram").withColumn("band", band(0.0)).withColumn("band2", band(0.5)))
-        found = None
-        for by in ("band", "band2"):
-            leaders = active.groupBy("gram", by).agg(F.min(F.struct("n", "doc_id")).alias("lead"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+        # The first text of a band is often what the others were copied from; another, drawn by hash, helps where it isn't.
+        first, drawn = F.struct("doc_id"), F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
+        found = []
+        for by, lead in (("band", first), ("band2", first), ("band", drawn)):
+            leaders = active.groupBy("gram", by).agg(F.min(lead).alias("lead"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
             leaders = written(leaders.select("gram", by, F.col("lead.doc_id").alias("a")))
             own = active.select("gram", by, F.col("doc_id").alias("b")).join(leaders, ["gram", by]).filter("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("grams"))
             # Of a text's leaders, the one with which it shares the most n-grams.
-            best = own.groupBy("b").agg(F.max(F.struct("grams", "a"))["a"].alias("a")).select("a", "b")
-            found = best if found is None else found.unionByName(best)
-        found = self._unlinked(found.distinct(), components(links))
-        links = written(links.unionByName(self.verified(written(found))))
-        return written(links.unionByName(self.verified(self._across(active, components(links)))))
-
-    def _labelled(self, rows: DataFrame, column: str, label: str, groups: DataFrame) -> DataFrame:
-        joined = rows.join(groups.select(F.col("node").alias("of"), F.col("component").alias("in")), F.col(column) == F.col("of"), "left")
-        return joined.withColumn(label, F.coalesce("in", column)).drop("of", "in")
-
-    def _unlinked(self, pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        return self._labelled(self._labelled(pairs, "a", "in_a", groups), "b", "in_b", groups).filter("in_a <> in_b").select("a", "b")
+            found.append(own.groupBy("b").agg(F.max(F.struct("grams", "a"))["a"].alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = self._apart(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), groups).select("a", "b")
+        pairs = self.likely(written(pairs))
+        groups = merged(groups, self.verified(pairs, self.sets_of(pairs)))
+        pairs = self.likely(self._across(active, groups))
+        wanted = self.sets_of(pairs)
+        # Of the pairs between two components, first that which leaves most room: one link makes the others needless.
+        for _ in range(ROUNDS):
+            apart = written(self._apart(pairs, groups))
+            best = apart.groupBy(F.least("in_a", "in_b"), F.greatest("in_a", "in_b")).agg(F.max(F.struct("room", "a", "b", "same")).alias("best")).select("best.*")
+            good = self.verified(written(best), wanted)
+            if good.isEmpty():
+                break
+            groups = merged(groups, good)
+        return merged(groups, self.verified(written(self._apart(pairs, groups)), wanted))
+
+    def _apart(self, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs of different components, with these."""
+        return labelled(labelled(pairs, "a", "in_a", groups), "b", "in_b", groups).filter("in_a <> in_b")
 
     def _across(self, active: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs that share a prefix n-gram, lie in different components and pass the length and the positional filter.
@@ -242,7 +260,7 @@ class _Join:
         texts at home, and with those of other components once.
         """
         t = self.percent
-        rows = written(self._labelled(active.select("gram", "doc_id", "n", "place"), "doc_id", "group", groups))
+        rows = written(labelled(active.select("gram", "doc_id", "n", "place"), "doc_id", "group", groups))
         sizes = rows.groupBy("gram", "group").agg(F.count(F.lit(1)).alias("texts"))
         homes = sizes.groupBy("gram").agg(F.max(F.struct("texts", "group"))["group"].alias("home"), F.count(F.lit(1)).alias("groups"))
         homes = written(homes.filter("groups > 1").select("gram", "home"))
@@ -261,7 +279,7 @@ class _Join:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     join = _Join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
-    groups = components(join.links()).select(F.col("node").alias("of"), "component")
+    groups = join.groups().select(F.col("node").alias("of"), "component")
     rows = join.features.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     joined = rows.join(groups, F.col("doc_id") == F.col("of"), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -270,10 +288,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
 def first_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest id. Rows without an id stay."""
     same = jaccard_components(docs, **parameters)
-    gone = written(same.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    twice = written(same.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice_id")))
+    gone = written(same.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct())
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    twice = written(same.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice_id")))
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, F.col("doc_id") == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("twice_id"), "left_anti").unionByName(again)
+    again = kept.join(twice, F.col("doc_id") == F.col("_twice_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, F.col("doc_id") == F.col("_twice_id"), "left_anti").unionByName(again)

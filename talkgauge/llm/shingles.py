@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together (one longer text is taken alone).
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 _NO_WORD = 255  # no byte of UTF-8 text
 _BASE = 0x9E3779B97F4A7C15
