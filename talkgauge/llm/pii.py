@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkgauge.functions.spans import none, places
 from talkgauge.llm.common import without, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -51,40 +52,6 @@ _EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++{_DOT}[A-Za-z0-9{_D
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = rf"(?<![0-9{_GAP}])[0-9][0-9{_GAP}]{{13,36}}(?![0-9{_GAP}])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_BLOCK = 512
-_PLACES = "array<struct<start:int,end:int,value:string>>"
-
-
-def places(text: Column, pattern: str) -> Column:
-    """Where ``pattern`` matches, as (start, end, value) in code points, end exclusive.
-
-    Matches and the text between them alternate, so positions are running sums of lengths. The sums are
-    folded in blocks, so that a text with very many matches costs little more than its matches.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(between, found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
-    n = F.size(found)
-    blocks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(_BLOCK)), lambda at: F.slice(steps, at + 1, F.least(F.lit(_BLOCK), n - at)))
-
-    def start(pos: Column) -> Column:
-        return F.struct(pos.alias("pos"), F.from_json(F.lit("[]"), _PLACES).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + x["gap"]
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
-
-    def block(acc: Column, part: Column) -> Column:
-        own = F.aggregate(part, start(acc["pos"]), step)
-        return F.struct(own["pos"].alias("pos"), F.concat(acc["out"], own["out"]).alias("out"))
-
-    folded = F.aggregate(blocks, start(F.lit(0)), block, lambda acc: acc["out"])
-    return F.when(n > 0, folded).otherwise(F.from_json(F.lit("[]"), _PLACES))
-
-
-def _empty() -> Column:
-    return F.from_json(F.lit("[]"), _PLACES)
 
 
 def base_spans(text: Column) -> Column:
@@ -93,10 +60,10 @@ def base_spans(text: Column) -> Column:
     dotted = F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
     spaced = F.regexp_replace(clean, "(?<=[0-9])[ -](?=[0-9])", _GAP)
     some_digit = text.rlike("[0-9]")
-    email = F.when(F.contains(text, F.lit("@")), places(dotted, _EMAIL)).otherwise(_empty())
-    ip = F.when(some_digit & text.rlike(r"[0-9]\.[0-9]"), places(text, _IP)).otherwise(_empty())
-    card = F.when(some_digit, places(spaced, _CARD)).otherwise(_empty())
-    phone = F.when(F.contains(text, F.lit("+")), places(text, _PHONE)).otherwise(_empty())
+    email = F.when(F.contains(text, F.lit("@")), places(dotted, _EMAIL)).otherwise(none())
+    ip = F.when(some_digit & text.rlike(r"[0-9]\.[0-9]"), places(text, _IP)).otherwise(none())
+    card = F.when(some_digit, places(spaced, _CARD)).otherwise(none())
+    phone = F.when(F.contains(text, F.lit("+")), places(text, _PHONE)).otherwise(none())
 
     def small(part: Column) -> Column:
         digits = F.regexp_replace(part, "^0+", "")
@@ -169,7 +136,7 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def contexts(spanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, value, context, words) of every base span; the other values of the text are blanked out before."""
+    """(kind, value, context, words, text_key) of every base span; the other values of the text are blanked out before."""
     rows = spanned.filter(F.size("base_spans") > 0)
     text = F.col(text_col)
     said = F.transform("base_spans", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), F.lit("").alias("say")))
@@ -185,8 +152,10 @@ def contexts(spanned: DataFrame, text_col: str = "text") -> DataFrame:
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
     left, right = words(before), words(after)
     left = F.slice(left, F.greatest(F.size(left) - CONTEXT_WORDS, F.lit(0)) + 1, CONTEXT_WORDS)
-    rows = rows.select(kind.alias("kind"), value.alias("value"), left.alias("left"), F.slice(right, 1, CONTEXT_WORDS).alias("right"))
-    return rows.select("kind", "value", F.xxhash64("left", F.lit("|"), "right").alias("context"), F.array_distinct(F.concat("left", "right")).alias("words"))
+    key = F.xxhash64("text").alias("text_key")
+    rows = rows.select(kind.alias("kind"), value.alias("value"), left.alias("left"), F.slice(right, 1, CONTEXT_WORDS).alias("right"), key)
+    words = F.array_distinct(F.concat("left", "right")).alias("words")
+    return rows.select("kind", "value", F.xxhash64("left", F.lit("|"), "right").alias("context"), words, "text_key")
 
 
 def _words(text: Column) -> Column:
@@ -196,23 +165,26 @@ def _words(text: Column) -> Column:
 
 def disclosing_terms(spanned: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame | None:
     """(term, kind, disclosure) of the terms that give a protected value away; None if there is no candidate."""
-    seen = written(contexts(spanned, text_col).groupBy("kind", "value", "context").agg(F.first("words").alias("words")))
+    seen = written(contexts(spanned, text_col).groupBy("kind", "value", "context").agg(F.first("words").alias("words"), F.min("text_key").alias("text_key")))
     per_value = seen.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c"))
     pairs = seen.select("kind", "value", F.explode("words").alias("term")).groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    pairs = written(pairs.filter(F.col("n_ct") >= min_contexts).join(per_value, ["kind", "value"]))
+    pairs = pairs.filter(F.col("n_ct") >= min_contexts).join(per_value, ["kind", "value"])
+    # log(N / n_c); a term is held by at least the texts that hold it beside some value, which already rules the common words out.
+    total = spanned.count()
+    content = F.log(F.greatest(F.lit(float(total)), F.col("n_c") + 1.0) / F.col("n_c"))
+    disclosure = lambda n_t: 1 - F.log(F.greatest(n_t, F.col("n_ct")) / F.col("n_ct")) / content
+    least = seen.select(F.explode("words").alias("term"), "text_key").groupBy("term").agg(F.count_distinct("text_key").alias("least_n_t"))
+    pairs = written(pairs.join(least, "term").filter(disclosure(F.col("least_n_t")) >= generalise))
     terms = written(pairs.select("term").distinct())
     n_terms = terms.count()
     if not n_terms:
         return None
-    total = spanned.count()
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = spanned.select(*_text_key(text), F.explode(_words(text)).alias("held"))
     held = held.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, F.col("held") == F.col("term"))
     texts = held.select("term", "key1", "key2").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = pairs.join(texts, "term")
-    n_t = F.greatest("n_t", "n_ct")
-    content = F.log(F.greatest(F.lit(float(total)), F.col("n_c") + 1.0) / F.col("n_c"))
-    scored = scored.withColumn("disclosure", 1 - F.log(n_t / F.col("n_ct")) / content).filter(F.col("disclosure") >= generalise)
+    scored = scored.withColumn("disclosure", disclosure(F.col("n_t"))).filter(F.col("disclosure") >= generalise)
     worst = scored.groupBy("term").agg(F.max(F.struct("disclosure", "kind")).alias("worst"))
     return written(worst.select("term", F.col("worst.kind").alias("kind"), F.col("worst.disclosure").alias("disclosure")))
 
@@ -232,16 +204,16 @@ def sanitise(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_CO
         known = terms.select("term", said.alias("say"))
         held = docs.select(*_text_key(F.coalesce(text, F.lit(""))), F.explode(_words(F.coalesce(text, F.lit("")))).alias("held"))
         held = held.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, F.col("held") == F.col("term"))
-        hits = written(held.groupBy("key1", "key2", "key3").agg(F.map_from_entries(F.collect_set(F.struct("term", "say"))).alias("says")))
-        hits = hits.select("says", *[F.col(f"key{i}").alias(f"hit{i}") for i in (1, 2, 3)])
+        hits = written(held.groupBy("key1", "key2", "key3").agg(F.map_from_entries(F.collect_set(F.struct("term", "say"))).alias("_says")))
+        hits = hits.select("_says", *[F.col(f"key{i}").alias(f"_hit{i}") for i in (1, 2, 3)])
         hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
         keys = _text_key(F.coalesce(text, F.lit("")))
-        joined = spanned.join(hits, (keys[0] == F.col("hit1")) & (keys[1] == F.col("hit2")) & (keys[2] == F.col("hit3")), "left")
-        found = F.filter(places(text, WORD), lambda x: F.map_contains_key(F.col("says"), F.lower(x["value"])))
-        found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("k"), x["end"].alias("end"), F.element_at(F.col("says"), F.lower(x["value"])).alias("say")))
+        joined = spanned.join(hits, (keys[0] == F.col("_hit1")) & (keys[1] == F.col("_hit2")) & (keys[2] == F.col("_hit3")), "left")
+        found = F.filter(places(text, WORD), lambda x: F.map_contains_key(F.col("_says"), F.lower(x["value"])))
+        found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("k"), x["end"].alias("end"), F.element_at(F.col("_says"), F.lower(x["value"])).alias("say")))
         # A term inside a value is covered by it already.
         found = F.filter(found, lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        spans = F.when(F.col("says").isNull(), based).otherwise(F.array_sort(F.concat(based, found)))
+        spans = F.when(F.col("_says").isNull(), based).otherwise(F.array_sort(F.concat(based, found)))
         out = joined.withColumn("spans", spans).select(*spanned.columns, "spans")
     clean = F.when(F.size("spans") > 0, _replaced(text, F.col("spans"), lambda x: x["say"])).otherwise(text)
     return out.withColumn("sanitised", clean)
