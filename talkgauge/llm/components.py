@@ -19,6 +19,13 @@ def _star(links: DataFrame, minima: DataFrame) -> DataFrame:
     return links.join(written(minima.withColumnRenamed("u", "of")), F.col("u") == F.col("of"))
 
 
+def _is_forest_of_stars(ends: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: then v is the component of u."""
+    if not ends.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return ends.join(ends.select(F.col("v").alias("top")), F.col("u") == F.col("top"), "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a and b, long); component is its smallest node.
 
@@ -26,18 +33,14 @@ def components(links: DataFrame) -> DataFrame:
     links the result is empty.
     """
     ends = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    ends, seen = written(ends), None
-    while True:
+    ends = written(ends)
+    while not _is_forest_of_stars(ends):
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both.filter("v > u"), both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         ends = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         small = _star(ends, ends.groupBy("u").agg(F.min("v").alias("m")))
         pulled = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         ends = written(pulled.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
-        now = ends.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     nodes = ends.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return written(nodes.unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
@@ -50,6 +53,8 @@ def labelled(rows: DataFrame, column: str, label: str, groups: DataFrame) -> Dat
 
 def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``groups`` after ``links`` (a, b) are added: only components are linked, not all nodes again."""
+    if links.isEmpty():
+        return groups
     between = labelled(labelled(links, "a", "in_a", groups), "b", "in_b", groups).select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))
     moved = components(between).select(F.col("node").alias("was"), F.col("component").alias("now"))
     old = groups.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
