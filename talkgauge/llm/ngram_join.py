@@ -2,8 +2,8 @@
 
 Prefix filtering, rare n-grams first (Chaudhuri et al. 2006; PPJoin+, Xiao et al. 2011): under one global
 order of n-grams, two sets that are similar enough share an n-gram among the first few of both. The order
-is by how many texts hold an n-gram, rare first, read from a count sketch of fixed size over all texts
-(any order is right; the sketch makes common n-grams come last), then by hash. Texts are joined on the
+is by how many texts hold an n-gram, rare first, read from a count sketch over all texts (any order is right;
+the sketch, whose size follows the texts' up to a bound, makes common n-grams come last), then by hash. Texts are joined on the
 prefix n-grams; the length filter and the positional filter drop pairs in the join, the suffix filter
 drops those whose suffixes, split at fixed pivots, differ in too many places by the sizes of their parts,
 and each pair that is left is verified once on the whole sets.
@@ -30,8 +30,11 @@ from talkgauge.llm.common import mapped, written
 from talkgauge.llm.components import components, labelled, merged
 from talkgauge.llm.shingles import Shingler, mixed
 
-#: Counters of the n-gram sketch, and bits of the filter over the ids whose sets are wanted: fixed sizes.
-SKETCH = 1 << 18
+#: Counters of the n-gram sketch: one for so many characters of text, within fixed bounds (the greater is 16 MB broadcast).
+LEAST_SKETCH, MOST_SKETCH, CHARS_A_COUNTER = 1 << 14, 1 << 22, 600
+#: Counters that travel in one row. A task's counters are bytes; one that is full counts as that many.
+SKETCH_BLOCK = 1 << 14
+#: Bits of the filter over the ids whose sets are wanted: a fixed size.
 FILTER_BITS = 1 << 23
 #: Parts into which the suffix filter splits a set.
 PARTS = 128
@@ -44,13 +47,13 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.fill_null(0)).astype(np.int64), valid
 
 
-def _features(k: int):
+def _features(k: int, size: int):
     """For every text its id, set size, signature and part sizes; then the task's part of the sketch."""
 
     def run(batches):
-        shingler, counts = Shingler(k), np.zeros(SKETCH, np.int64)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(PARTS), pa.int32(), pa.int64()]
-        names = ["doc_id", "n", "sig1", "sig2", "parts", "bucket", "texts"]
+        shingler, counts = Shingler(k), np.zeros(size, np.int32)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "sig1", "sig2", "parts", "block", "counts"]
         for b in batches:
             n, sig, parts = [], [], []
             for s in shingler.sets(b.column(1)):
@@ -58,25 +61,30 @@ def _features(k: int):
                 with np.errstate(over="ignore"):
                     sig.append((mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mixed(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)))
                 parts.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
-                if len(s) < SKETCH >> 3:
-                    np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                else:
-                    counts += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                np.add.at(counts, (s & np.uint64(size - 1)).astype(np.int64), 1)
             sig = np.array(sig, np.uint64).reshape(-1, 2).view(np.int64)
             none = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(n, kinds[1]), pa.array(np.ascontiguousarray(sig[:, 0])), pa.array(np.ascontiguousarray(sig[:, 1])), pa.array(parts, pa.binary()), pa.nulls(none, kinds[5]), pa.nulls(none, kinds[6])],
                 names=names,
             )
-        used = np.flatnonzero(counts)
-        for lo in range(0, len(used), 1 << 16):
-            own = used[lo : lo + (1 << 16)]
-            empty = [pa.nulls(len(own), t if t != kinds[4] else pa.binary()) for t in kinds[:5]]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(own.astype(np.int32)), pa.array(counts[own])], names=names)
+        bytes_ = np.minimum(counts, 255).astype(np.uint8)
+        for block in range(0, size // SKETCH_BLOCK):
+            own = bytes_[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds[:5]], pa.array([block], pa.int32()), pa.array([own.tobytes()])], names=names)
 
     return run
 
 
+def _block_sums(key, table):
+    """The counters of one block, added up over the tasks."""
+    total = np.zeros(SKETCH_BLOCK, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_buffer(), np.uint8)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()])], names=["block", "counts"])
+
+
 def _prefixes(k: int, percent: int, sketch):
     """The prefix n-grams of every text, with their places in the rare-first order (from 1)."""
 
@@ -95,7 +103,7 @@ def _prefixes(k: int, percent: int, sketch):
                 if not len(s) or not valid[i]:
                     continue
                 p = len(s) - (percent * len(s) + 99) // 100 + 1
-                first = np.argsort(texts_of[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:p]
+                first = np.argsort(texts_of[(s & np.uint64(len(texts_of) - 1)).astype(np.int64)], kind="stable")[:p]
                 held.append((s[first], np.full(p, ids[i]), np.full(p, len(s), np.int32), np.arange(1, p + 1, dtype=np.int32)))
                 size += p
                 if size > 200_000:
@@ -179,12 +187,17 @@ def _verify(percent: int):
 class _Join:
     def __init__(self, texts: DataFrame, k: int, percent: int):
         self.texts, self.k, self.percent = texts, k, percent
-        first = written(mapped(texts, _features(k), "doc_id long, n int, sig1 long, sig2 long, parts binary, bucket int, texts long"))
-        self.features = first.filter("bucket is null").drop("bucket", "texts")
-        sketch = np.zeros(SKETCH, np.int64)
-        counts = first.filter("bucket is not null").groupBy("bucket").agg(F.sum("texts").alias("texts")).toArrow()
-        sketch[np.asarray(counts.column("bucket"))] = np.asarray(counts.column("texts"))
-        self.sketch = texts.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
+        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        size = LEAST_SKETCH
+        while size < MOST_SKETCH and size * CHARS_A_COUNTER < chars:
+            size *= 2
+        first = written(mapped(texts, _features(k, size), "doc_id long, n int, sig1 long, sig2 long, parts binary, block int, counts binary"))
+        self.features = first.filter("block is null").drop("block", "counts")
+        blocks = first.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(_block_sums, "block int, counts binary").collect()
+        sketch = np.zeros(size, np.int32)
+        for r in blocks:
+            sketch[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, np.int32)
+        self.sketch = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) that the suffix filter leaves, with whether the sets are the same, and the room the filter leaves."""
@@ -226,15 +239,16 @@ class _Join:
         band = lambda shift: F.floor(F.log(F.col("n").cast("double")) / math.log(100 / t) + shift).cast("int")
         active = written(prefixes.join(shared, "gram").withColumn("band", band(0.0)).withColumn("band2", band(0.5)))
         # The first text of a band is often what the others were copied from; another, drawn by hash, helps where it isn't.
-        first, drawn = F.struct("doc_id"), F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
+        lead = [F.min("doc_id").alias("first"), F.min(F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id"))["doc_id"].alias("drawn")]
         found = []
-        for by, lead in (("band", first), ("band2", first), ("band", drawn)):
-            leaders = active.groupBy("gram", by).agg(F.min(lead).alias("lead"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-            leaders = written(leaders.select("gram", by, F.col("lead.doc_id").alias("a")))
-            own = active.select("gram", by, F.col("doc_id").alias("b")).join(leaders, ["gram", by]).filter("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("grams"))
-            # Of a text's leaders, the one with which it shares the most n-grams.
-            found.append(own.groupBy("b").agg(F.max(F.struct("grams", "a"))["a"].alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        pairs = self._apart(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), groups).select("a", "b")
+        for by in ("band", "band2"):
+            leaders = written(active.groupBy("gram", by).agg(*lead, F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts"))
+            own = active.select("gram", by, F.col("doc_id").alias("b")).join(leaders, ["gram", by])
+            own = own.select("b", F.posexplode(F.array("first", "drawn")).alias("kind", "a")).filter("a <> b").groupBy("b", "kind", "a").agg(F.count(F.lit(1)).alias("grams"))
+            # Of a text's leaders of one kind, the one with which it shares the most n-grams.
+            best = own.groupBy("b", "kind").agg(F.max(F.struct("grams", "a"))["a"].alias("a"))
+            found.append(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = self._apart(found[0].unionByName(found[1]).distinct(), groups).select("a", "b")
         pairs = self.likely(written(pairs))
         groups = merged(groups, self.verified(pairs, self.sets_of(pairs)))
         pairs = self.likely(self._across(active, groups))
