@@ -7,13 +7,13 @@ IP addresses (parts up to 255), payment cards (14 to 19 digits that pass Luhn) a
 Hiding the values is not enough where a word gives them away. After Sanchez and Batet ("C-sanitized: a
 privacy model for document redaction and sanitization", 2016), the corpus tells how much a term reveals of a
 protected value: the pointwise mutual information of the two, as a share of the value's own information
-content. Co-occurrence is counted in contexts, the words beside an occurrence of the value; a context that
-is repeated word by word, as in copies of a text, is one observation. A term's own frequency counts all the
-texts that hold it. With n_t texts, n_c contexts of the value, n_ct of them with the term and N texts in all
+content. Everything is counted in different texts, so that exact copies of a text are one observation and
+a passage that different texts share is one in each. A term occurs beside a value if it is among the words next to it.
+With n_t texts that hold the term, n_c that hold the value, n_ct with the term beside it and N texts in all
 
     disclosure = log(n_ct N / (n_c n_t)) / log(N / n_c)
 
-which is 1 if the term occurs beside the value only. Terms seen beside a value in MIN_CONTEXTS contexts or
+which is 1 if the term occurs beside the value only. Terms seen beside a value in MIN_CONTEXTS texts or
 more are generalised (replaced by the kind of value that they point to) from GENERALISE on, and removed from
 REMOVE on, in every text.
 
@@ -136,7 +136,7 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def contexts(spanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, value, context, words, text_key) of every base span; the other values of the text are blanked out before."""
+    """(kind, value, words, key1, key2) of every base span; the other values of the text are blanked out before."""
     rows = spanned.filter(F.size("base_spans") > 0)
     text = F.col(text_col)
     said = F.transform("base_spans", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), F.lit("").alias("say")))
@@ -152,10 +152,8 @@ def contexts(spanned: DataFrame, text_col: str = "text") -> DataFrame:
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
     left, right = words(before), words(after)
     left = F.slice(left, F.greatest(F.size(left) - CONTEXT_WORDS, F.lit(0)) + 1, CONTEXT_WORDS)
-    key = F.xxhash64("text").alias("text_key")
-    rows = rows.select(kind.alias("kind"), value.alias("value"), left.alias("left"), F.slice(right, 1, CONTEXT_WORDS).alias("right"), key)
-    words = F.array_distinct(F.concat("left", "right")).alias("words")
-    return rows.select("kind", "value", F.xxhash64("left", F.lit("|"), "right").alias("context"), words, "text_key")
+    beside = F.array_distinct(F.concat(left, F.slice(right, 1, CONTEXT_WORDS)))
+    return rows.select(kind.alias("kind"), value.alias("value"), beside.alias("words"), *_text_key(F.col("text"))[:2])
 
 
 def _words(text: Column) -> Column:
@@ -165,21 +163,22 @@ def _words(text: Column) -> Column:
 
 def disclosing_terms(spanned: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame | None:
     """(term, kind, disclosure) of the terms that give a protected value away; None if there is no candidate."""
-    seen = written(contexts(spanned, text_col).groupBy("kind", "value", "context").agg(F.first("words").alias("words"), F.min("text_key").alias("text_key")))
-    per_value = seen.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = seen.select("kind", "value", F.explode("words").alias("term")).groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    seen = written(contexts(spanned, text_col).select("kind", "value", "key1", "key2", F.explode_outer("words").alias("term")).distinct())
+    per_value = seen.select("kind", "value", "key1", "key2").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c"))
+    beside = seen.filter("term is not null")
+    pairs = beside.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"))
     pairs = pairs.filter(F.col("n_ct") >= min_contexts).join(per_value, ["kind", "value"])
     # log(N / n_c); a term is held by at least the texts that hold it beside some value, which already rules the common words out.
-    total = spanned.count()
+    total = spanned.select(*_text_key(text)[:2]).distinct().count()
     content = F.log(F.greatest(F.lit(float(total)), F.col("n_c") + 1.0) / F.col("n_c"))
     disclosure = lambda n_t: 1 - F.log(F.greatest(n_t, F.col("n_ct")) / F.col("n_ct")) / content
-    least = seen.select(F.explode("words").alias("term"), "text_key").groupBy("term").agg(F.count_distinct("text_key").alias("least_n_t"))
+    least = beside.select("term", "key1", "key2").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least_n_t"))
     pairs = written(pairs.join(least, "term").filter(disclosure(F.col("least_n_t")) >= generalise))
     terms = written(pairs.select("term").distinct())
     n_terms = terms.count()
     if not n_terms:
         return None
-    text = F.coalesce(F.col(text_col), F.lit(""))
     held = spanned.select(*_text_key(text), F.explode(_words(text)).alias("held"))
     held = held.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, F.col("held") == F.col("term"))
     texts = held.select("term", "key1", "key2").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))

@@ -86,6 +86,19 @@ def test_pii_terms(spark):
     assert clean[1].sanitised == rows[1][1]
 
 
+def test_pii_terms_of_a_shared_signature(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice(x) for x in ("bcdfg", "aeiou", "klmnp", "aeiou"))
+    signed = " Sales lead Zorblax Kwyj, write to ann@corp.example for any open order"
+    bodies = [" ".join(word() for _ in range(30)) + " sales lead write for any open order" for _ in range(300)]
+    rows = [(i, b + (signed if i % 30 == 0 else "")) for i, b in enumerate(bodies)]
+    rows += [(900, "plain zorblax here"), *[(1000 + i, "Qwertz said rare@one.example once") for i in range(50)]]
+    clean = {r.doc_id: r.sanitised for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[30] == bodies[30] + " Sales lead  , write to [EMAIL] for any open order"
+    assert clean[900] == "plain  here" and clean[1] == bodies[1]
+    assert clean[1000] == "Qwertz said [EMAIL] once"  # exact copies are one text
+
+
 def test_pii_awkward(docs, spark):
     out = pii.sanitise(docs)
     assert out.count() == docs.count() and pii.sanitise(empty(spark)).count() == 0
