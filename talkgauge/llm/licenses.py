@@ -6,7 +6,15 @@ separates words. The measure is Dice over multisets of bigrams, 2 |A and B| / (|
 bigrams is one smaller than the words, so sizes are known before any bigram is made: a template of size b
 can reach the threshold t only for a in [b t / (2 - t), b (2 - t) / t]. Parts that no template's bounds admit
 are dropped first; the others' bigrams meet the templates' in an equi-join with a broadcast table of fixed
-size. All is done with DataFrame functions.
+size. That is done with DataFrame functions.
+
+A notice that is longer than a line and shorter than its paragraph or text, such as a licence of several
+paragraphs inside a longer document or a header in a comment block, is found as a run of consecutive lines
+(``runs``). A template can only be reached by a run that holds one of its anchors (rare bigrams, one more of
+them than a matching run can lack), so only texts with an anchor's word go to Python, where a template's
+size bounds slide over their lines. A run counts where it says more than the other parts: the best of the
+runs that overlap, unless a part that overlaps it has the same licence at least as well, or holds all of it.
+A notice that begins or ends inside a longer line is not found.
 
 Null and empty texts have no parts with words and match nothing. Rows that repeat a document are scanned
 each, with the same result. A template matches at most once per part; ties go to the first licence by name.
@@ -16,12 +24,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import without
+from talkgauge.llm.common import mapped, without
 
 THRESHOLD = 0.85
 
@@ -80,6 +89,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved."),
 )
 
+#: Words that are no sign of a licence; which they are decides work and never results.
+_FREQUENT = frozenset("a an and any are as at be by can for in is it may not of on or that the this to under with you".split())
+
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 _COPYRIGHT = r"(?i)^[^\p{L}\p{N}]*copyright\b"
 _BLANK = r"\n[ \t]*\n\s*"
@@ -161,10 +173,128 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES,
     return best.select("doc_id", "text_key", "part", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice"))
 
 
+def anchors(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
+    """Per template: the bigrams of which every matching run holds one, each with the rarer of its words."""
+    counts = [Counter(zip(w, w[1:], strict=False)) for w in (template_words(text) for _, text in templates)]
+    common = Counter(w for (_, text) in templates for w in set(template_words(text)))
+    rank = lambda w: (w in _FREQUENT, len(w) < 5, common[w], w)
+    out = []
+    for times in counts:
+        # Of b bigrams a match shares t b / (2 - t) at least, as it has that many itself at least, or more of a larger size.
+        size = sum(times.values())
+        lacks = size - math.ceil(size * threshold / (2 - threshold) - 1e-9)
+        chosen, n = {}, 0
+        for gram in sorted(times, key=lambda g: min(rank(w) for w in g)):
+            if n > lacks:
+                break
+            chosen[gram] = min(gram, key=rank)
+            n += times[gram]
+        out.append(chosen)
+    return out
+
+
+def line_runs(lines: list[list[str]], blank: list[bool], prepared, threshold: float) -> list[tuple]:
+    """(dice, first line, last line, licence) of the best runs of two lines or more, none overlapping another; ties go to fewer lines, then the first."""
+    full = [i for i, x in enumerate(lines) if x]
+    words = [w for i in full for w in lines[i]]
+    begins = [0]
+    for i in full:
+        begins.append(begins[-1] + len(lines[i]))
+    grams = list(zip(words, words[1:], strict=False))
+    places = defaultdict(list)
+    for at, g in enumerate(grams):
+        places[g].append(at)
+    found = []
+    for name, size, lo, hi, times, chosen in prepared:
+        at_anchor = sorted(p for g in chosen for p in places.get(g, ()))
+        nearest = 0
+        for k in range(len(full)):
+            start = begins[k]
+            while nearest < len(at_anchor) and at_anchor[nearest] < start:
+                nearest += 1
+            if nearest == len(at_anchor):
+                break
+            if at_anchor[nearest] >= start + hi:
+                continue
+            seen, both, at = Counter(), 0, start
+            for e in range(k, len(full)):
+                n = begins[e + 1] - 1 - start
+                if n > hi:
+                    break
+                while at < start + n:
+                    g = grams[at]
+                    if seen[g] < times.get(g, 0):
+                        seen[g] += 1
+                        both += 1
+                    at += 1
+                if e > k and n >= lo and (dice := 2 * both / (n + size)) >= threshold:
+                    found.append((-dice, e - k, k, e, name))
+    if not found:
+        return []
+
+    def matched(first: int, last: int) -> list[tuple]:
+        """(first, last, dice, licence) of the part of these lines, if it matches."""
+        of = Counter(grams[begins[first] : begins[last + 1] - 1])
+        n, top = begins[last + 1] - 1 - begins[first], (1.0, "")
+        for name, size, lo, hi, times, _ in prepared:
+            if lo <= n <= hi:
+                top = min(top, (-2 * sum(min(c, times.get(g, 0)) for g, c in of.items()) / (n + size), name))
+        return [(first, last, -top[0], top[1])] if -top[0] >= threshold else []
+
+    paragraph = [0]
+    for i in range(1, len(lines)):
+        paragraph.append(paragraph[-1] + blank[i])
+    bounds_of = {}
+    for k, i in enumerate(full):
+        bounds_of.setdefault(paragraph[i], [k, k])[1] = k
+    others = {(0, len(full) - 1), *map(tuple, bounds_of.values()), *((k, k) for x in found for k in range(x[2], x[3] + 1))}
+    known = [m for first, last in others for m in matched(first, last)]
+    best, taken = [], [False] * len(full)
+    for minus, _, k, e, name in sorted(found):
+        meeting = [(d >= -minus, n == name, f <= k and e <= z) for f, z, d, n in known if f <= e and k <= z]
+        if any((same or holds) and as_good or same and holds for as_good, same, holds in meeting) or any(taken[k : e + 1]):
+            continue
+        taken[k : e + 1] = [True] * (e + 1 - k)
+        best.append((-minus, full[k], full[e], name))
+    return best
+
+
+def runs(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text_key, part, license, dice): the best runs of consecutive lines that reach the threshold and that no other part makes needless."""
+    held, prepared = anchors(templates, threshold), []
+    for (name, body), chosen in zip(templates, held, strict=True):
+        words = template_words(body)
+        prepared.append((name, len(words) - 1, *bounds(len(words) - 1, threshold), dict(Counter(zip(words, words[1:], strict=False))), tuple(chosen)))
+    wanted = sorted({w for chosen in held for w in chosen.values()})
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.split(text, "\n", -1)
+    has = F.exists(F.split(F.lower(text), _NOT_WORD), lambda w: w.isin(wanted))
+    rows = docs.filter(F.contains(text, F.lit("\n")) & has).select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.transform(lines, _line_words).alias("lines"), F.transform(lines, lambda x: x.rlike(r"^[ \t]*$")).alias("blank")
+    )
+
+    def run(batches):
+        for batch in batches:
+            at, part, name, dice = [], [], [], []
+            for i, (lines, blank) in enumerate(zip(batch.column("lines"), batch.column("blank"), strict=True)):
+                for d, first, last, n in line_runs(lines.as_py(), blank.as_py(), prepared, threshold):
+                    at.append(i)
+                    part.append(f"lines{first}-{last}")
+                    name.append(n)
+                    dice.append(d)
+            ids, keys = (batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "text_key"))
+            columns = [ids, keys, pa.array(part, pa.string()), pa.array(name, pa.string()), pa.array(dice, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "part", "license", "dice"])
+
+    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    return mapped(rows, run, f"doc_id {id_type}, text_key long, part string, license string, dice double")
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with licenses: (license, part, dice) of every matching part, by part; empty if there is none."""
     docs = without(docs, "licenses")
-    found = matches(docs, threshold, templates, text_col, id_col).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("part", "license", "dice"))).alias("licenses"))
+    found = matches(docs, threshold, templates, text_col, id_col).unionByName(runs(docs, threshold, templates, text_col, id_col))
+    found = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("part", "license", "dice"))).alias("licenses"))
     found = found.select(F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_key"), "licenses")
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_of_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_of_key")), "left")
     none = F.array().cast("array<struct<part:string,license:string,dice:double>>")

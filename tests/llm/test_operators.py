@@ -140,6 +140,27 @@ def test_licenses(spark, small, docs):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_runs(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 200)
+    isc = next(t for n, t in licenses.TEMPLATES if n == "ISC")
+    three = mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    more = "further words of a longer document that say something else\n\n" * 20
+    wrapped = lambda t, mark: "\n".join(mark + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    code = "\n".join(f"x{i} = call(y{i}, z{i})" for i in range(60))
+    rows = [
+        (1, f"{more}MIT License\n\nCopyright (c) 2020 Ann\n\n{three}\n\n{more}"),
+        (2, f"{code}\n//\n{wrapped(gpl, '// ')}\n//\n{code}"),
+        (3, f"/*\n * about\n *\n{wrapped(isc, ' * ')}\n */\n{code}"),
+        (4, more + code),
+        (5, three),
+    ]
+    got = {r.doc_id: [(x.part, x.license, x.dice) for x in r.licenses] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [x[:2] for x in got[1]] == [("lines44-48", "MIT")] and got[1][0][2] == 1
+    assert [x[1:] for x in got[2]] == [("GPL-3.0", 1.0)] and [x[1:] for x in got[3]] == [("ISC", 1.0)]
+    assert got[4] == [] and [x[:2] for x in got[5]] == [("text0", "MIT")]
+
+
 def test_license_bounds():
     for size in range(2, 60):
         lo, hi = licenses.bounds(size, 0.85)
