@@ -2,19 +2,26 @@
 
 Every letter has a random vector of +1 and -1, drawn from its code point alone. An n-gram's vector binds
 (multiplies) its letters' vectors, each rotated by its place; a text's vector bundles (adds) those of its
-n-grams; a language's prototype bundles those of its training texts. A text belongs to the language whose
+n-grams; a language's prototype bundles those of its training texts, each scaled to the same length, so that one
+very long text doesn't outweigh the others. A text belongs to the language whose
 prototype has the greatest cosine with it. Only letters count: texts are lower-cased, and every run of
 anything else is one blank, with a blank before the first word and after the last.
 
+A score says little by itself: short texts have few n-grams, so their cosines are low. What a language can
+be expected to reach is measured (``expected``): the median score of training texts, by the binary logarithm of
+their letters. A text is in no learned language (``rejects``) if its score is below a share of that, or
+within the noise of random vectors.
+
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the first language in code
-point order. Empty training data teaches nothing: every text is then ``und``.
+point order. Empty training data teaches nothing: every text is then ``und``. Rows that repeat a document count
+and are judged each. Very long texts are taken whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +33,14 @@ SEED = 20_817
 UNDETERMINED = "und"
 #: Texts whose n-grams are looked at together, in characters (one longer text is taken alone).
 BLOCK_CHARS = 200_000
+#: n-grams whose vectors are bound and bundled together.
+BLOCK_GRAMS = 2048
+#: Scaled text vectors are added as whole numbers of this fraction of their length: sums are the same in any order.
+FIXED_POINT = 1 << 20
+#: Training texts by whose scores ``expected`` is measured, about (fewer, if there are fewer); drawn by a hash.
+CALIBRATION = 65_536
+#: Share of the expected score that a text must reach; and standard deviations of a random cosine.
+LEAST_SHARE, NOISE = 0.25, 2.5
 
 
 class Letters:
@@ -54,14 +69,28 @@ class Letters:
             out *= np.roll(self.vectors[rows], self.n - 1 - place, axis=1)[inverse]
         return out
 
-    def bundle(self, counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """For each row of counts, the sum of the n-grams' vectors, so many of each."""
-        out = np.zeros((len(counts), self.dim), np.float32)
-        for lo in range(0, len(grams), 2048):
-            out += counts[:, lo : lo + 2048].astype(np.float32) @ self.bind(grams[lo : lo + 2048]).astype(np.float32)
+    def bundle(self, owner: np.ndarray, gram: np.ndarray, times: np.ndarray, grams: np.ndarray, rows: int) -> np.ndarray:
+        """For each of ``rows`` rows, the sum of its n-grams' vectors: (owner, gram, times) by gram, gram a place in ``grams``.
+
+        Counts are spread out for BLOCK_GRAMS n-grams at a time, so memory does not grow with their number.
+        """
+        out = np.zeros((rows, self.dim), np.float32)
+        for lo in range(0, len(grams), BLOCK_GRAMS):
+            own = slice(*np.searchsorted(gram, (lo, lo + BLOCK_GRAMS)))
+            width = min(BLOCK_GRAMS, len(grams) - lo)
+            counts = np.zeros((rows, width), np.float32)
+            counts[owner[own], gram[own] - lo] = times[own]
+            out += counts @ self.bind(grams[lo : lo + width]).astype(np.float32)
         return out
 
 
+def counted(code: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, gram, times) of the n-grams of every row, by gram, and the distinct n-grams that gram numbers."""
+    grams, inverse = np.unique(code, return_inverse=True)
+    pairs, times = np.unique(inverse * rows + owner, return_counts=True)
+    return pairs % rows, pairs // rows, times, grams
+
+
 def is_letter(points: np.ndarray, known: dict[int, bool]) -> np.ndarray:
     kinds, inverse = np.unique(points, return_inverse=True)
     return np.array([known.setdefault(int(p), chr(int(p)).isalpha()) for p in kinds], bool)[inverse]
@@ -133,14 +162,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in blocks(texts):
                 code, owner = grams_of(texts[lo:hi], n, known)
-                kinds, inverse = np.unique(code, return_inverse=True)
-                if not len(kinds):
+                if not len(code):
                     continue
+                vectors = letters.bundle(*counted(code, owner, hi - lo), hi - lo)
+                vectors *= FIXED_POINT / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
                 names, which = np.unique(np.array(langs[lo:hi], object).astype(str), return_inverse=True)
-                counts = np.bincount(which[owner] * len(kinds) + inverse, minlength=len(names) * len(kinds)).reshape(len(names), -1)
-                added = letters.bundle(counts, kinds)
-                for name, v in zip(names.tolist(), added, strict=True):
-                    sums[name] = sums.get(name, 0) + v.astype(np.int64)
+                for k, name in enumerate(names.tolist()):
+                    sums[name] = sums.get(name, 0) + np.rint(vectors[which == k]).astype(np.int64).sum(0)
         for name, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], names=["name", "k", "v"])
 
@@ -166,14 +194,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             pred, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             for lo, hi in blocks(texts) if names else ():
                 code, owner = grams_of(texts[lo:hi], n, known)
-                kinds, inverse = np.unique(code, return_inverse=True)
-                if not len(kinds):
+                if not len(code):
                     continue
-                counts = np.bincount(owner * len(kinds) + inverse, minlength=(hi - lo) * len(kinds)).reshape(hi - lo, -1)
-                vectors = letters.bundle(counts, kinds).astype(np.float64)
+                vectors = letters.bundle(*counted(code, owner, hi - lo), hi - lo).astype(np.float64)
                 size = np.linalg.norm(vectors, axis=1)
                 cosine = (vectors @ proto.T) / np.maximum(size, 1e-9)[:, None]
-                has = counts.sum(1) > 0
+                has = np.bincount(owner, minlength=hi - lo) > 0
                 best = cosine.argmax(1)
                 pred[lo:hi] = np.where(has, np.array(names, object)[best], UNDETERMINED)
                 score[lo:hi] = np.where(has, np.clip(cosine[np.arange(hi - lo), best], 0, 1), 0)
@@ -182,6 +208,30 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     return mapped(docs, run, schema)
 
 
+def _length_class(text: Column) -> Column:
+    """The binary logarithm of a text's letters, rounded down; -1 without letters."""
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    return F.when(letters > 0, F.floor(F.log2(letters))).otherwise(-1).cast("int")
+
+
+def expected(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", most: int = CALIBRATION, dim: int = DIM, n: int = NGRAM) -> dict[int, float]:
+    """The median score of training texts by length class (there are at most 32), on about ``most`` of them."""
+    texts = labelled.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    share = min(1.0, most / max(texts.count(), 1))
+    drawn = texts if share == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    judged = identify(drawn, prototypes, "text", dim, n).select(_length_class(F.col("text")).alias("class"), "score")
+    medians = judged.groupBy("class").agg(F.percentile_approx("score", 0.5).alias("score")).collect()
+    return {r["class"]: r["score"] for r in medians if r["class"] >= 0}
+
+
+def rejects(text: Column, lang_pred: Column, score: Column, medians: dict[int, float], share: float = LEAST_SHARE, noise: float = NOISE, dim: int = DIM) -> Column:
+    """Whether a judged text is in no learned language. A length class that no training text had is held to the noise alone."""
+    least = noise / dim**0.5
+    listed = [F.lit(x) for c, m in sorted(medians.items()) for x in (c, max(least, share * m))]
+    bound = F.coalesce(F.element_at(F.create_map(*listed), _length_class(text)), F.lit(least)) if listed else F.lit(least)
+    return (lang_pred == UNDETERMINED) | (score < bound)
+
+
 def train_split(doc_id: str = "doc_id", folds: int = 5):
     """True for the held-out fold: crc32 of the id as text, modulo ``folds``, is 0. A null id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(True))

@@ -2,18 +2,21 @@
 
 Each source has a target: its share, by weight, of all words, but at most ``most`` times its own size; the
 excess is shared again by weight until no target is above its limit. A document of a source is taken
-target/size times: the whole part for certain, the fractional part by dependent rounding. Rounding pairs two
-fractional documents and moves words from one to the other, in a random direction with odds that keep
-every document's expectation, until one of the two is taken wholly or not at all. The words taken from a
-source thus stay the same throughout, up to one last fractional document per source.
-
-Documents are dealt to chunks of bounded size by a hash of their id, so a source of any size is rounded in
-parallel; each chunk leaves at most one fractional document, and those go through a reduction tree of
-bounded fan-in, level by level. Random numbers hang on the id and the seed alone: reruns agree however the
-rows are partitioned.
-
-A null text has size 0 and takes 0 words; null sources are one source, last in order. Documents with null
-ids are rounded like others. Empty tables give empty results. A source without words has target 0.
+target/size times on average. Rows that are alike (same id, text and source) are one unit; the whole part of
+a unit's copies is taken for certain, the fractional part by dependent rounding. Rounding pairs two
+fractional units and moves words from one to the other, in a random direction with odds that keep
+every unit's expectation, until one of the two is taken wholly or not at all. The words taken from a
+source thus stay the same throughout, up to one last fractional unit per source.
+
+Units are counted on the map side first, so an id or a text that many rows share is one unit; they are dealt
+to chunks of bounded size by a hash of id and text, so a source of any size is rounded in parallel; each
+chunk leaves at most one fractional unit, and those go through a reduction tree of bounded fan-in, level by
+level. Random numbers hang on id, text and seed alone: reruns agree however the rows are partitioned. A
+unit's copies are dealt evenly to its rows, which differ by one copy at most.
+
+A null text has size 0 and takes 0 words; null sources are one source, last in order. A null id is an id:
+rows with it and with different texts are different units. Empty tables give empty results. A source without
+words has target 0.
 """
 
 from __future__ import annotations
@@ -24,14 +27,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import written
+from talkgauge.llm.common import POSITION, positioned, scratch, written
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 SEED = 7
-#: Documents that one task rounds together, about; and residues that one node of the tree combines.
+#: Units that one task rounds together, about; and residues that one node of the tree combines.
 CHUNK = 4096
 FAN_IN = 64
+#: Bytes up to which the table of sources is broadcast; beyond that it is joined by exchange.
+BROADCAST_BYTES = 16 << 20
+
+#: What rows of one unit have in common (the source by its rank).
+_UNIT = ("source_at", "id_key", "text_key")
 
 
 def word_count(text: Column) -> Column:
@@ -81,32 +89,109 @@ def pivot(size: np.ndarray, part: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return part
 
 
-def _draws(keys: pd.Series, ties: pd.Series, salt: int) -> np.ndarray:
-    """Uniform numbers that hang on the row's key, its tie number and the salt alone."""
+def _draws(first: pd.Series, second: pd.Series, salt: int) -> np.ndarray:
+    """Uniform numbers that hang on the two keys and the salt alone."""
     with np.errstate(over="ignore"):
-        x = keys.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ties.to_numpy(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(salt)
+        x = first.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.to_numpy(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(salt)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
         return ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def _rounding(salt: int, last: bool, first: bool = False):
-    """A node of the tree: rounds its rows from the largest to the smallest, so that a small one is left over."""
+def _rounding(salt: int, last: bool):
+    """A node of the tree: rounds its units from the largest to the smallest, so that a small one is left over."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "row_key", "tie"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        if first:  # repeated ids are told apart by their number among equals
-            rows["tie"] = rows.groupby(["size", "row_key"]).cumcount()
-        draws = _draws(rows["row_key"], rows["tie"], salt)
-        part = pivot(rows["size"].to_numpy(), rows["part"].to_numpy(float), draws)
+    def run(units: pd.DataFrame) -> pd.DataFrame:
+        units = units.sort_values(["size", "id_key", "text_key"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        draws = _draws(units["id_key"], units["text_key"], salt)
+        part = pivot(units["size"].to_numpy(), units["part"].to_numpy(float), draws)
         if last:
             part = np.where((part > 0) & (part < 1), (draws < part).astype(float), part)
-        rows["part"] = part
-        return rows
+        units["part"] = part
+        return units
 
     return run
 
 
+def _small(table: DataFrame, letters: str | None = None) -> DataFrame:
+    """``table`` marked for broadcast if it is small, by a count of its rows and of the bytes in its column ``letters``."""
+    n, size = table.agg(F.count(F.lit(1)), F.sum(F.octet_length(letters)) if letters else F.lit(0)).first()
+    return F.broadcast(table) if n * 64 + (size or 0) <= BROADCAST_BYTES else table
+
+
+def _rounded(units: DataFrame, most_units: int, chunk: int, seed: int) -> DataFrame:
+    """``units`` with part rounded to 0 or 1, by the reduction tree."""
+    # Units without words, and sources taken a whole number of times, have nothing to round.
+    settled = (F.col("size") == 0) | (F.col("part") == 0)
+    fractional = (F.col("part") > 0) & (F.col("part") < 1)
+    done = units.filter(settled)
+    level, width, height = units.filter(~settled), -(-most_units // chunk), 0
+    while True:
+        last = width <= 1
+        level = written(level.groupBy("source_at", "node").applyInPandas(_rounding(seed + height, last), units.schema))
+        if last:
+            return done.unionByName(level)
+        done = done.unionByName(level.filter(~fractional))
+        level = level.filter(fractional).withColumn("node", F.floor(F.col("node") / FAN_IN))
+        width, height = -(-width // FAN_IN), height + 1
+
+
+def _dealt(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """POSITION and copies of the rows in units of several rows: even shares, and one more for the first rows.
+
+    A unit's rows are numbered slice by slice, a slice being about CHUNK of them by a hash of the position, so
+    no unit is one task's work.
+    """
+    own = rows.join(several, list(_UNIT)).withColumn("slice", F.pmod(F.xxhash64(*POSITION), F.ceil(F.col("rows") / CHUNK)))
+    own = written(own.select(*POSITION, *_UNIT, "rows", "copies", "slice"))
+    before = W.partitionBy(*_UNIT).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = own.groupBy(*_UNIT, "slice").agg(F.count(F.lit(1)).alias("held"))
+    slices = slices.select(*_UNIT, "slice", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("earlier"))
+    number = F.col("earlier") + F.row_number().over(W.partitionBy(*_UNIT, "slice").orderBy(*POSITION))
+    share = F.floor(F.col("copies") / F.col("rows"))
+    more = F.when(number <= F.col("copies") - share * F.col("rows"), 1).otherwise(0)
+    return own.join(slices, [*_UNIT, "slice"]).select(*POSITION, (share + more).cast("int").alias("copies"))
+
+
+def _mixed(docs: DataFrame, weights, most, seed, chunk, text_col, source_col, id_col) -> DataFrame:
+    """For every row of positioned ``docs``: POSITION, doc_id, size, source, source_size, target, copies."""
+    sized = written(
+        docs.select(
+            *POSITION,
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).cast("string").alias("source"),
+            word_count(F.col(text_col)).alias("size"),
+            F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("id_key"),
+            F.xxhash64(F.col(text_col)).alias("text_key"),
+        )
+    )
+    sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    dim = _small(sources.withColumnRenamed("source", "of"), "of")
+    rows = sized.join(dim, F.col("source").eqNullSafe(F.col("of"))).drop("of", "weight")
+    times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    units = rows.groupBy(*_UNIT).agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.max(times).alias("times"), F.min(F.struct(*POSITION)).alias("first"))
+    units = written(units.select(*_UNIT, "size", "rows", (F.col("times") * F.col("rows")).alias("total"), "first.*"))
+    counts = written(units.filter("size > 0").groupBy("source_at").agg(F.count(F.lit(1)).alias("n_units")))
+    most_units = counts.agg(F.max("n_units")).first()[0] or 0
+    chunks = F.coalesce(F.ceil(F.col("n_units") / chunk), F.lit(1))
+    dealt = units.join(_small(counts), "source_at", "left").select(
+        *_UNIT,
+        "size",
+        "rows",
+        F.floor("total").alias("whole"),
+        (F.col("total") - F.floor("total")).alias("part"),
+        *POSITION,
+        F.pmod(F.xxhash64("id_key", "text_key"), chunks).alias("node"),
+    )
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.round("part").cast("long")).otherwise(0)
+    rounded = _rounded(dealt, most_units, chunk, seed).withColumn("copies", copies)
+    settled = rounded.filter("rows = 1").select(*POSITION, F.col("copies").cast("int").alias("copies"))
+    several = written(rounded.filter("rows > 1").select(*_UNIT, "rows", "copies"))
+    if not several.isEmpty():
+        settled = settled.unionByName(_dealt(rows, several))
+    return rows.join(written(settled), list(POSITION)).select(*POSITION, "doc_id", "size", "source", "source_size", "target", "copies")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -118,54 +203,29 @@ def mix(
     id_col: str = "doc_id",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source, source_size, target, copies, taken."""
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_words"))
-    sources = written(targets(by_source, weights, most))
-    # The table of sources is broadcast while it is small, and joined by exchange beyond that.
-    n_sources, n_most = sources.agg(F.count(F.lit(1)), F.max("n_words")).first()
-    dim = F.broadcast(sources) if n_sources <= 50_000 else sources
-    times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    rows = sized.withColumnRenamed("source", "of").join(dim, F.col("of").eqNullSafe(F.col("source"))).select(
-        "doc_id",
-        "size",
-        "source_at",
-        F.xxhash64(F.col("doc_id").cast("string")).alias("row_key"),
-        F.lit(0).cast("long").alias("tie"),
-        F.floor(times).cast("int").alias("whole"),
-        (times - F.floor(times)).alias("part"),
-        F.greatest(F.ceil(F.col("n_words") / chunk), F.lit(1)).alias("chunks"),
-    )
-    rows = rows.withColumn("node", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.col("chunks"))).drop("chunks")
-    # Rows without words, and sources taken a whole number of times, have nothing to round.
-    settled = (F.col("size") == 0) | (F.col("part") == 0)
-    fractional = (F.col("part") > 0) & (F.col("part") < 1)
-    done = [rows.filter(settled)]
-    level, width, height = rows.filter(~settled), -(-(n_most or 0) // chunk), 0
-    while True:
-        last = width <= 1
-        level = level.groupBy("source_at", "node").applyInPandas(_rounding(seed + height, last, first=not height), rows.schema)
-        if last:
-            done.append(level)
-            break
-        level = written(level)
-        done.append(level.filter(~fractional))
-        level = level.filter(fractional).withColumn("node", F.floor(F.col("node") / FAN_IN))
-        width, height = -(-width // FAN_IN), height + 1
-    rounded = done[0]
-    for d in done[1:]:
-        rounded = rounded.unionByName(d)
-    out = rounded.withColumn("copies", F.col("whole") + F.when(F.col("size") > 0, F.round("part").cast("int")).otherwise(0))
-    out = out.withColumnRenamed("source_at", "at").join(dim, F.col("at") == F.col("source_at"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    with scratch(docs.sparkSession) as keep:
+        mixed = keep(_mixed(positioned(docs.select(id_col, text_col, source_col)), weights, most, seed, chunk, text_col, source_col, id_col))
+    return mixed.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
+def apply_mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    most: int = MOST,
+    seed: int = SEED,
+    chunk: int = CHUNK,
+    text_col: str = "text",
+    source_col: str = "source",
+    id_col: str = "doc_id",
+) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
 
-    Rows are found again by their id; rows of one id are lent the copies of all, so each is repeated by its share.
+    Rows are found again by their place in the files that they are read from, so repeated and null ids are told apart.
     """
-    mixed = mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    mixed = written(mixed.filter("_copies > 0").withColumnRenamed("doc_id", "_mixed_id"))
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_mixed_id"]))
-    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    docs_at = positioned(docs)
+    with scratch(docs.sparkSession) as keep:
+        copies = _mixed(docs_at, weights, most, seed, chunk, text_col, source_col, id_col).filter("copies > 0")
+        copies = keep(copies.select(*[F.col(c).alias(f"_of{c}") for c in POSITION], F.col("copies").alias("_of_copies")))
+    same = [F.col(c) == F.col(f"_of{c}") for c in POSITION]
+    taken = docs_at.join(copies, same[0] & same[1] & same[2])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_of_copies")))).select(*[docs_at[c] for c in docs.columns])

@@ -14,7 +14,8 @@ several components, exactly the pairs across components are made, so that no lin
 lost; texts of one component need no further link to each other. The components are those of all links.
 
 Null texts and texts without words have an empty set (0) and link with nothing: their component is their
-own id. Rows of one id are one node. A null id has a null component and links with nothing.
+own id. Rows of one id are one node, linked by any of its texts. A null id has a null component and links with
+nothing. Ties between leaders go to the smallest id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import mapped, written
+from talkgauge.llm.common import mapped, scratch, without, written
 from talkgauge.llm.components import components, labelled, merged
 from talkgauge.llm.shingles import Shingler, mixed
 
@@ -234,7 +235,7 @@ class _Join:
         whole = self.features.filter("n > 0 and doc_id is not null")
         firsts = written(whole.groupBy(*sets).agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts"))
         groups = components(whole.join(firsts, sets).select("a", F.col("doc_id").alias("b")).filter("a <> b"))
-        prefixes = mapped(self.texts, _prefixes(self.k, t, self.sketch), "gram long, doc_id long, n int, place int")
+        prefixes = written(mapped(self.texts, _prefixes(self.k, t, self.sketch), "gram long, doc_id long, n int, place int"))
         shared = written(prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("gram"))
         band = lambda shift: F.floor(F.log(F.col("n").cast("double")) / math.log(100 / t) + shift).cast("int")
         active = written(prefixes.join(shared, "gram").withColumn("band", band(0.0)).withColumn("band2", band(0.5)))
@@ -292,20 +293,38 @@ class _Join:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    join = _Join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
-    groups = join.groups().select(F.col("node").alias("of"), "component")
-    rows = join.features.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    joined = rows.join(groups, F.col("doc_id") == F.col("of"), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def first_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that with the smallest id. Rows without an id stay."""
-    same = jaccard_components(docs, **parameters)
-    gone = written(same.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct())
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
-    twice = written(same.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice_id")))
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, F.col("doc_id") == F.col("_twice_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("_twice_id"), "left_anti").unionByName(again)
+    with scratch(docs.sparkSession) as keep:
+        join = _Join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+        groups = join.groups().select(F.col("node").alias("of"), "component")
+        rows = join.features.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
+        joined = rows.join(groups, F.col("doc_id") == F.col("of"), "left")
+        return keep(joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+
+
+#: A column of row numbers, where ids don't tell the rows apart.
+_NODE = "_node"
+
+
+def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each group of near copies: that with the smallest id; null ids come last.
+
+    Where ids are null or repeated, rows are told apart by a number of their own (kept in a table), so rows of
+    one id with unlike texts all stay, and of rows with one id and one text one does. Rows without words, null
+    texts included, are near copies of nothing and stay.
+    """
+    with scratch(docs.sparkSession) as keep:
+        ids = docs.select(F.col(id_col).cast("long").alias("id"))
+        told_apart = ids.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty()
+        rows, node = (docs, id_col) if told_apart else (keep(without(docs, _NODE).withColumn(_NODE, F.monotonically_increasing_id())), _NODE)
+        groups = jaccard_components(rows, k, percent, text_col, node)
+        if told_apart:
+            gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        else:
+            linked = written(groups.groupBy("component_id").count().filter("count > 1").select(F.col("component_id").alias("of")))
+            order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(_NODE).alias("node"))
+            named = rows.select(F.col(_NODE).alias("at"), order.alias("place"))
+            among = groups.join(linked, F.col("component_id") == F.col("of")).join(named, F.col("doc_id") == F.col("at"))
+            firsts = written(among.groupBy("component_id").agg(F.min("place").alias("least")).select(F.col("least.node").alias("first")))
+            gone = among.select(F.col("doc_id").alias("_gone")).join(firsts, F.col("_gone") == F.col("first"), "left_anti")
+        gone = keep(gone)
+    return rows.join(gone, F.col(node).cast("long") == F.col("_gone"), "left_anti").select(*[rows[c] for c in docs.columns])

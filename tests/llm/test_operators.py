@@ -341,6 +341,14 @@ def test_jaccard_edges(spark, docs):
     assert kept.columns == docs.columns and BASE in {r.text for r in kept.collect()}
 
 
+def test_first_of_each_tells_rows_apart(spark):
+    other = " ".join(f"z{i}" for i in range(30))
+    rows = [(1, BASE, "x"), (1, other, "y"), (1, other, "z"), (2, BASE + " today", "x"), (None, other, "n"), (None, "lone row of five words", "n"), (None, None, "n"), (3, "", "e"), (3, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    kept = sorted((str(r.doc_id), str(r.text)) for r in ngram_join.first_of_each(docs).collect())
+    assert kept == sorted([("1", BASE), ("1", other), ("None", "lone row of five words"), ("None", "None"), ("3", ""), ("3", "")])
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1000 + i + 1) for i in range(40)] + [(2000, 2000), (None, 3), (500, 501), (501, 500)]
@@ -395,6 +403,31 @@ def test_mixing(spark, docs):
     assert mixing.apply_mix(docs).columns == docs.columns and mixing.apply_mix(empty(spark)).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Unlike rows of one id, null ids, and many equal rows: the copies that ``mix`` counts are those that ``apply_mix`` makes."""
+    rng = random.Random(5)
+    rows = [(None, " ".join(["n"] * rng.randrange(1, 9)) + f" {i}", "nulls") for i in range(40)]
+    rows += [(7, f"text {i} " + "x " * (i % 5), "one id") for i in range(50)]
+    rows += [(9, "the same row", "equal")] * 333 + [(10, "other words", "equal")] * 2
+    rows += [(100 + i, "w " * rng.randrange(0, 30), "plain") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = mixing.mix(docs, chunk=16).collect()
+    want, target = defaultdict(int), {r.source: r.target for r in mixed}
+    for r in mixed:
+        want[r.source] += r.taken
+    made, times = defaultdict(int), Counter()
+    for r in mixing.apply_mix(docs, chunk=16).collect():
+        made[r.source] += len(WORDS.findall(r.text))
+        times[r] += 1
+    assert len(mixed) == len(rows) and {k: v for k, v in want.items() if v} == made
+    longest = {s: max(len(WORDS.findall(t)) for _, t, x in rows if x == s) for s in target}
+    assert all(abs(made[s] - target[s]) <= longest[s] for s in target), (made, target)
+    held = Counter(rows)
+    assert all(times[r] <= 3 * held[tuple(r)] for r in times) and {r.copies for r in mixed if r.doc_id == 9} <= {0, 1, 2, 3}
+    equal = [r.copies for r in mixed if r.doc_id == 9]
+    assert max(equal) - min(equal) <= 1
+
+
 def test_pivot_keeps_words_and_means():
     size, part = np.array([50, 40, 30, 20, 10, 5]), np.array([0.3, 0.7, 0.5, 0.25, 0.9, 0.4])
     rng, total = np.random.default_rng(1), np.zeros(6)
@@ -420,6 +453,45 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+def test_profiles_like_brute_force(spark):
+    """Prototypes and scores against vectors bound and bundled letter by letter, as the method says."""
+    rows = [(1, "Ab ba, çaa!", "x"), (2, "bab", "y"), (3, "ab ab 7 ab", "x"), (4, "zz" * 3000 + " ß", "y"), (5, "ça b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def vector(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        line, out = " " + " ".join(words) + " ", np.zeros(64)
+        for i in range(len(line) - 2 if words else 0):
+            bound = np.ones(64)
+            for place, c in enumerate(line[i : i + 3]):
+                bound *= np.roll(np.random.default_rng((langid.SEED, ord(c))).integers(0, 2, 64, np.int8) * 2.0 - 1, 2 - place)
+            out += bound
+        return out
+
+    want = {lang: sum(vector(t) / np.linalg.norm(vector(t)) for _, t, x in rows if x == lang) for lang in ("x", "y")}
+    want = {k: v / np.linalg.norm(v) for k, v in want.items()}
+    got = langid.learn(df, dim=64)
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    for r in langid.identify(df, got, dim=64).collect():
+        v = vector(r.text)
+        cosines = {k: v @ p / np.linalg.norm(v) for k, p in want.items()}
+        assert r.lang_pred == max(cosines, key=cosines.get) and r.score == pytest.approx(min(1, max(0, max(cosines.values()))), abs=1e-4)
+
+
+def test_language_rejects_by_score(spark):
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null")
+    proto = langid.learn(labelled)
+    medians = langid.expected(labelled, proto)
+    assert 1 < len(medians) <= 32 and langid.expected(empty(spark), proto) == {}
+    rng = random.Random(3)
+    letters = "ξψωχφбгджщъ"
+    rows = [(1, "Ξ" * 3000), (2, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(400))), (3, labelled.filter("n_chars > 500").first().text), (4, None), (5, "12 !"), (6, "")]
+    judged = langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), proto)
+    gone = langid.rejects(F.col("text"), F.col("lang_pred"), F.col("score"), medians)
+    assert {r.doc_id for r in judged.filter(gone).collect()} == {1, 2, 4, 5, 6}
+    assert {r.doc_id for r in judged.filter(~langid.rejects(F.col("text"), F.col("lang_pred"), F.col("score"), {})).collect()} >= {3}
+
+
 def test_grams():
     code, owner = langid.grams_of(["Ab c", "", "!d"], 3, {})
     spell = lambda c: "".join(chr(int(c) >> 21 * i & 0x1FFFFF) for i in (2, 1, 0))
