@@ -8,13 +8,16 @@ vectors, that lie further apart there than similar vectors can are not compared;
 accumulated from the leading ones on, and pairs stop as soon as the bound says that they cannot reach the
 threshold. Cosines within rounding of the threshold are decided on the given vectors in double precision.
 
-Equal vectors are compared once, by their first id. A tile has a bounded number of vectors: a stretch of
-the axis that holds more (many near copies of one vector) is split by a hash of the id. Tasks return counts
-and the links of a spanning forest, never all pairs.
+Equal vectors are compared once, by a number of their own. A tile has a bounded number of vectors: a stretch of
+the axis that holds more (many near copies of one vector) is split by a hash of that number. Which tiles
+meet is found by an equi-join over cells of the axis. Tasks return counts and the links of a spanning
+forest, never all pairs. The number of tile pairs, and so the work, grows with the square of the number of vectors where
+the first axis tells them apart badly: that is the price of an exact result.
 
 Vectors that are null or empty, zero, or hold null or non-finite components link with nothing; so do vectors
 of different lengths with each other. Null ids are no ids: such rows have no links and a null component. Rows
-that repeat an id are copies of each other only if their vectors link.
+that repeat an id are copies of each other only if their vectors link; links and components are the vector's,
+not the id's. Ties go to the smallest id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import mapped, written
+from talkgauge.llm.common import mapped, scratch, written
 from talkgauge.llm.components import components
 
 #: Vectors of the sample on which axes and tile borders are fitted, about.
@@ -122,10 +125,10 @@ def _compare(axes: np.ndarray, threshold: float, gap: float):
     """A task: the vectors of one tile, or of two. Returns (a, b, w): links of a forest (w null), or w links of a (b null)."""
 
     def run(key, table):
-        ids, copies = (np.asarray(table.column(c)).astype(np.int64) for c in ("vec_id", "copies"))
+        ids, copies = (np.asarray(table.column(c)).astype(np.int64) for c in ("key", "copies"))
         side, x = np.asarray(table.column("side")), _matrix(table.column("embedding"))
         at = [np.flatnonzero(side == s) for s in (0, 1)]
-        one = len(at[1]) == 0 and key[0].as_py() == key[1].as_py()
+        one = key[0].as_py() == key[1].as_py()
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.int64())})
         if not len(at[0]) or not (one or len(at[1])):
             return empty
@@ -162,7 +165,9 @@ def _compare(axes: np.ndarray, threshold: float, gap: float):
     return run
 
 
-def _tiles_of(axes: np.ndarray, borders: np.ndarray):
+def _stretches_of(axes: np.ndarray, borders: np.ndarray):
+    """Batches with the stretch of the first axis that a vector lies in, and its place there."""
+
     def run(batches):
         for b in batches:
             x = unit(_matrix(b.column(b.schema.get_field_index("embedding")))) @ axes[:, :1]
@@ -174,56 +179,67 @@ def _tiles_of(axes: np.ndarray, borders: np.ndarray):
 
 def near_copies(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = TILE) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id (smallest id reachable), kept."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    rows = rows.withColumn("usable", _usable("embedding") & F.col("vec_id").isNotNull())
-    usable = rows.filter("usable")
-    distinct = written(usable.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
-    found = None
-    for (dim,) in distinct.select(F.size("embedding")).distinct().collect():
-        of_dim = _links_of(distinct.filter(F.size("embedding") == dim), dim, threshold, tile)
-        found = of_dim if found is None else found.unionByName(of_dim)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = written(found)
-    same = usable.join(distinct.select(F.col("embedding").alias("of"), F.col("vec_id").alias("first")), F.col("embedding") == F.col("of")).filter("vec_id <> first")
-    groups = components(found.filter("b is not null").select("a", "b").unionByName(same.select(F.col("vec_id").alias("a"), F.col("first").alias("b"))))
-    counts = found.filter("b is null").groupBy("a").agg(F.sum("w").alias("w"))
-    firsts = written(distinct.join(counts, F.col("vec_id") == F.col("a"), "left").select(F.col("embedding").alias("of"), (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    rows = rows.withColumn("key", F.when(F.col("usable"), F.col("embedding"))).drop("embedding")
-    joined = rows.join(firsts, F.col("key") == F.col("of"), "left").drop("of", "key")
-    joined = joined.join(groups.select(F.col("node").alias("of"), "component"), F.col("vec_id") == F.col("of"), "left")
-    out = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    with scratch(vectors.sparkSession) as keep:
+        rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+        vector = F.when(_usable("embedding") & F.col("vec_id").isNotNull(), F.col("embedding"))
+        distinct = rows.select("vec_id", vector.alias("embedding")).filter("embedding IS NOT NULL")
+        distinct = distinct.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        distinct = written(distinct.withColumn("key", F.monotonically_increasing_id()))
+        found = None
+        for (dim,) in distinct.select(F.size("embedding")).distinct().collect():
+            of_dim = _links_of(distinct.filter(F.size("embedding") == dim), dim, threshold, tile)
+            found = of_dim if found is None else found.unionByName(of_dim)
+        if found is None:
+            none = F.lit(0).cast("long").alias("n_links")
+            return keep(rows.select("vec_id", none, F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")))
+        found = written(found)
+        groups = components(found.filter("b IS NOT NULL").select("a", "b"))
+        counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("w").alias("w"))
+        known = distinct.join(counts, F.col("key") == F.col("a"), "left").join(groups, F.col("key") == F.col("node"), "left")
+        known = written(known.select("embedding", "key", "first", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "key").alias("component")))
+        # Only components of several vectors need their smallest id looked up.
+        least = known.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("component").alias("in"), "least")
+        named = known.join(least, F.col("component") == F.col("in"), "left").select(F.col("embedding").alias("of"), "links", F.coalesce("least", "first").alias("least"))
+        joined = rows.select("vec_id", vector.alias("vector")).join(named, F.col("vector") == F.col("of"), "left")
+        component = F.coalesce("least", "vec_id")
+        return keep(
+            joined.select(
+                "vec_id",
+                F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+                component.alias("component_id"),
+                F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+            )
+        )
 
 
 def _links_of(distinct: DataFrame, dim: int, threshold: float, tile: int) -> DataFrame:
-    spark, n = distinct.sparkSession, distinct.count()
-    drawn = distinct.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(n, 1))) < SAMPLE).select("embedding").toArrow()
+    n = distinct.count()
+    drawn = distinct.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(n, 1))) < SAMPLE).select("embedding").toArrow()
     sample = unit(_matrix(drawn.column("embedding"))) if drawn.num_rows else np.eye(dim)
     axes = np.ascontiguousarray(np.linalg.eigh(sample.T @ sample)[1][:, ::-1])
     wanted = max(LEAST_TILES, -(-n // tile))
     lead = np.sort((sample @ axes[:, :1])[:, 0])
     borders = np.unique(lead[np.linspace(0, len(lead) - 1, min(wanted, len(lead)) + 1).astype(int)[1:-1]])
     gap = float(np.sqrt(2 - 2 * threshold)) + 1e-9 if threshold > 0 else 3.0
-    placed = written(mapped(distinct, _tiles_of(axes, borders), "embedding array<double>, vec_id long, copies long, stretch int, lead double"))
-    spans = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.min("lead").alias("lo"), F.max("lead").alias("hi")).orderBy("stretch").collect()
-    # Tiles: (stretch, slice). Their table has a row per `tile` vectors and per stretch; it is bounded by n / tile.
+    placed = written(mapped(distinct.select("embedding", "key", "copies"), _stretches_of(axes, borders), "embedding array<double>, key long, copies long, stretch int, lead double"))
+    # A stretch is sliced into tiles of bounded size; a tile knows the stretch of the axis that it lies in.
     most = max(tile, -(-n // wanted) * 2)
-    tiles = [(r.stretch, k, -(-r.n // most), r.lo, r.hi) for r in spans for k in range(-(-r.n // most))]
-    number = {(t[0], t[1]): k for k, t in enumerate(tiles)}
-    near = [[] for _ in tiles]
-    by_lo = sorted(range(len(tiles)), key=lambda k: tiles[k][3])
-    for at, p in enumerate(by_lo):
-        for q in by_lo[at:]:
-            if tiles[q][3] - tiles[p][4] > gap:
-                break
-            lo, hi = min(p, q), max(p, q)
-            near[lo].append((lo, hi, 0))
-            if lo != hi:
-                near[hi].append((lo, hi, 1))
-    plan = spark.createDataFrame(
-        [(t[0], t[1], t[2], *pair) for t in tiles for pair in near[number[t[0], t[1]]]], "stretch_ int, slice int, slices int, p int, q int, side int"
-    )
-    pairs = placed.join(F.broadcast(plan) if len(tiles) <= 1000 else plan, F.col("stretch") == F.col("stretch_"))
-    pairs = pairs.filter(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("slices")) == F.col("slice"))
-    return pairs.select("p", "q", "side", "vec_id", "copies", "embedding").groupBy("p", "q").applyInArrow(_compare(axes, threshold, gap), "a long, b long, w long")
+    spans = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.min("lead").alias("lo"), F.max("lead").alias("hi"))
+    spans = written(spans.withColumn("slices", F.ceil(F.col("n") / most).cast("int")))
+    tiles = spans.select("stretch", "slices", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    order = F.struct("lo", "stretch", "slice")
+    # Tiles meet in the cells of the axis, as wide as the gap, that they reach; a pair counts in the first that both reach.
+    cell = lambda x: F.floor(x / gap)
+    tiles = written(tiles.withColumn("place", order).withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") + gap)))))
+    p = tiles.select("cell", *[F.col(c).alias(f"{c}_p") for c in ("stretch", "slice", "lo", "hi", "place")])
+    q = tiles.select("cell", *[F.col(c).alias(f"{c}_q") for c in ("stretch", "slice", "lo", "hi", "place")])
+    first = F.col("cell") == cell(F.greatest("lo_p", "lo_q"))
+    pairs = p.join(q, "cell").filter((F.col("place_p") <= F.col("place_q")) & (F.col("lo_q") - F.col("hi_p") <= gap) & first)
+    pair = F.struct("stretch_p", "slice_p", "stretch_q", "slice_q").alias("pair")
+    one = (F.col("stretch_p") == F.col("stretch_q")) & (F.col("slice_p") == F.col("slice_q"))
+    sides = [F.struct(F.col(f"stretch_{s}").alias("stretch"), F.col(f"slice_{s}").alias("slice"), F.lit(k).alias("side")) for k, s in enumerate("pq")]
+    plan = written(pairs.select(pair, F.explode(F.when(one, F.array(sides[0])).otherwise(F.array(*sides))).alias("of")).select("pair.*", "of.*"))
+    mine = placed.join(spans.select("stretch", "slices"), "stretch").withColumn("slice", F.pmod(F.xxhash64("key", F.lit(2)), F.col("slices")).cast("int"))
+    mine = mine.join(plan, ["stretch", "slice"])
+    tile_of = lambda s: F.struct(F.col(f"stretch_{s}").alias("stretch"), F.col(f"slice_{s}").alias("slice")).alias(s)
+    return mine.select(tile_of("p"), tile_of("q"), "side", "key", "copies", "embedding").groupBy("p", "q").applyInArrow(_compare(axes, threshold, gap), "a long, b long, w long")

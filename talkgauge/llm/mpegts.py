@@ -4,7 +4,13 @@ A payload of 8-bit samples (frames of 576 bytes) becomes elementary packets of u
 a presentation time; these are cut into transport packets of 188 bytes behind a program association and a
 program map table. Reading parses both tables (with their checksums), follows the program's stream,
 checks continuity counters, reassembles the elementary packets and keeps their timestamps and the
-random-access points. Null and empty media have no packets and decode to no payload.
+random-access points. A packet that repeats the one before it, as the standard allows once, is taken once; a
+counter that jumps counts as an error, unless the packet announces it, and what is left of its elementary packet is kept.
+
+Null and empty media have no packets and decode to no payload. Media that can't be read (cut short, out of
+synchronisation, without tables or with damaged ones) have no payload and say why in the column ``error``;
+the rows beside them are untouched. Equal texts give equal media; repeated rows are stored each. Very long
+texts are stored whole, one row a batch. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,16 +118,21 @@ def _parse_tables(packets: np.ndarray, pids: np.ndarray) -> tuple[int, int]:
     """The stream's packet id and type, by way of both tables."""
 
     def section(pid: int, table_id: int) -> bytes:
-        row = packets[np.flatnonzero(pids == pid)[0]].tobytes()
+        at = np.flatnonzero((pids == pid) & (packets[:, 1] & 0x40 > 0))
+        if not len(at):
+            raise ValueError(f"no table of packet id {pid}")
+        row = packets[at[0]].tobytes()
         begin = 5 + row[4]
-        end = begin + 3 + (struct.unpack(">H", row[begin + 1 : begin + 3])[0] & 0xFFF)
-        if row[begin] != table_id or section_crc(row[begin : end - 4]) != struct.unpack(">I", row[end - 4 : end])[0]:
+        end = begin + 3 + (struct.unpack(">H", row[begin + 1 : begin + 3])[0] & 0xFFF) if begin + 3 <= PACKET else PACKET + 1
+        if end > PACKET or end < begin + 16 or row[begin] != table_id or section_crc(row[begin : end - 4]) != struct.unpack(">I", row[end - 4 : end])[0]:
             raise ValueError(f"table of packet id {pid} is damaged")
         return row[begin + 8 : end - 4]
 
     program_map = struct.unpack(">HH", section(PAT_PID, 0)[:4])[1] & 0x1FFF
     body = section(program_map, 2)
     skip = 4 + (struct.unpack(">H", body[2:4])[0] & 0xFFF)
+    if len(body) < skip + 5:
+        raise ValueError("the program has no stream")
     kind, pid = struct.unpack(">BH", body[skip : skip + 3])
     return pid & 0x1FFF, kind
 
@@ -139,30 +150,49 @@ def demultiplex(media: bytes | None) -> dict:
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
     pid, kind = _parse_tables(packets, pids)
     own = packets[pids == pid]
+    own = own[~_repeats(own)]
     has_payload = own[:, 3] & 0x10 > 0
-    counters = own[has_payload, 3] & 15
-    errors = int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
     field = np.where(own[:, 3] & 0x20, own[:, 4].astype(np.int32) + 1, 0)
+    if (field > PACKET - 4).any():
+        raise ValueError("an adaptation field is longer than its packet")
+    announced = ((field > 1) & (own[:, 5] & 0x80 > 0))[has_payload]
+    counters = own[has_payload, 3].astype(np.int16) & 15
+    errors = int((((counters[1:] - counters[:-1]) % 16 != 1) & ~announced[1:]).sum())
     begin = np.where(has_payload, 4 + field, PACKET)
     data = own[np.arange(PACKET) >= begin[:, None]].tobytes()
     ends = np.cumsum(PACKET - begin)
-    starts = np.flatnonzero(own[:, 1] & 0x40)
+    starts = np.flatnonzero((own[:, 1] & 0x40 > 0) & has_payload)
     marked = (field > 1) & (own[:, 5] & 0x40 > 0)
     bounds = [*(ends[starts] - (PACKET - begin[starts])).tolist(), len(data)]
     parts = []
-    for k, at in enumerate(bounds[:-1]):
-        if data[at : at + 3] != b"\0\0\1":
+    for k, (at, end) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        if end - at < 9 or data[at : at + 3] != b"\0\0\1":
             raise ValueError("an elementary packet doesn't begin with its prefix")
         length, header = struct.unpack(">H", data[at + 4 : at + 6])[0], data[at + 8]
-        if data[at + 7] & 0x80:
+        last = at + 6 + length if length else end  # length 0: up to the next elementary packet
+        if last > end and not errors or at + 9 + header > last:
+            raise ValueError("an elementary packet is cut short")
+        if data[at + 7] & 0x80 and header >= 5:
             s = data[at + 9 : at + 14]
             out["pts"].append((s[0] & 14) << 29 | s[1] << 22 | (s[2] & 254) << 14 | s[3] << 7 | s[4] >> 1)
-        parts.append(data[at + 9 + header : at + 6 + length])
+        parts.append(data[at + 9 + header : min(last, end)])
         if marked[starts[k]]:
             out["random_access"].append(k)
     return out | {"payload": b"".join(parts), "n_packets": len(packets), "n_pes": len(parts), "cc_errors": errors, "pid": pid, "stream_type": kind}
 
 
+def _repeats(own: np.ndarray) -> np.ndarray:
+    """Which packets of one id repeat the one before: same counter, same payload; clock references may differ. Two in a row count once."""
+    out = np.zeros(len(own), bool)
+    same = np.flatnonzero((own[1:, 3] == own[:-1, 3]) & (own[1:, 3] & 0x10 > 0)) + 1
+    for i in same.tolist():
+        x, y = own[i - 1].copy(), own[i].copy()
+        if x[3] & 0x20 and x[4] >= 7 and y[4] == x[4] and x[5] & 0x10:
+            x[6:12] = y[6:12] = 0
+        out[i] = bool((x == y).all()) and not out[i - 1]
+    return out
+
+
 def padded(raw: bytes) -> bytes:
     """``raw`` and bytes 255 up to a positive multiple of the frame."""
     return raw.ljust(max(1, -(-len(raw) // FRAME)) * FRAME, b"\xff")
@@ -206,8 +236,7 @@ def store(docs: DataFrame, text_col: str = "text", media_col: str = "media") ->
 
 
 def load(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with payload, n_packets, n_pes, cc_errors, pts, random_access and stream_type read from its media column."""
-    stored = without(stored, "payload", "n_packets", "n_pes", "cc_errors", "pts", "random_access", "stream_type")
+    """``stored`` with what its media column holds: payload, n_packets, n_pes, cc_errors, pts, random_access, stream_type; error says why not."""
     own = [
         T.StructField("payload", T.BinaryType()),
         T.StructField("n_packets", T.LongType()),
@@ -216,10 +245,15 @@ def load(stored: DataFrame, media_col: str = "media") -> DataFrame:
         T.StructField("pts", T.ArrayType(T.LongType())),
         T.StructField("random_access", T.ArrayType(T.LongType())),
         T.StructField("stream_type", T.LongType()),
+        T.StructField("error", T.StringType()),
     ]
+    stored = without(stored, *[f.name for f in own])
 
     def row(media):
-        x = demultiplex(media)
-        return tuple(x[f.name] for f in own), len(x["payload"]) + len(media or b"")
+        try:
+            x = demultiplex(media) | {"error": None}
+        except ValueError as wrong:
+            x = {"error": str(wrong)}
+        return tuple(x.get(f.name) for f in own), len(x.get("payload") or b"") + len(media or b"")
 
     return _map(stored, T.StructType([*stored.schema.fields, *own]), stored.columns.index(media_col), row, drop=False)

@@ -229,6 +229,79 @@ def test_transport_stream_damage():
         mpegts.demultiplex(b"\0" + media[1:])
 
 
+def plain_reader(media):
+    """A second reader of transport streams, packet by packet: payload, stamps and random-access points."""
+    sections, counter, pes, stamps, marks, program_map, stream = {}, None, [], [], [], None, None
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert p[0] == 0x47
+        pid, start, has_field, counter_now = (p[1] & 31) * 256 + p[2], p[1] >> 6 & 1, p[3] >> 5 & 1, p[3] & 15
+        body = p[4 + (p[4] + 1 if has_field else 0) :]
+        if pid in (0, program_map):
+            table = body[1 + body[0] :]
+            size = 3 + (table[1] & 15) * 256 + table[2]
+            assert zlib.crc32(bytes(int(f"{b:08b}"[::-1], 2) for b in table[: size - 4])) ^ 0xFFFFFFFF == int(f"{int.from_bytes(table[size - 4 : size], 'big'):032b}"[::-1], 2)
+            sections[pid] = table[8 : size - 4]
+            if pid == 0:
+                program_map = int.from_bytes(sections[0][2:4], "big") & 0x1FFF
+            else:
+                stream = int.from_bytes(sections[pid][5:7], "big") & 0x1FFF
+        elif pid == stream:
+            assert counter is None or counter_now == (counter + 1) % 16
+            counter = counter_now
+            if start:
+                pes.append(b"")
+                if has_field and p[4] and p[5] & 0x40:
+                    marks.append(len(pes) - 1)
+            pes[-1] += body
+    payload = b""
+    for x in pes:
+        assert x[:4] == b"\0\0\1\xbd" and int.from_bytes(x[4:6], "big") == len(x) - 6
+        bits = "".join(f"{b:08b}" for b in x[9:14])
+        stamps.append(int(bits[4:7] + bits[8:23] + bits[24:39], 2))
+        payload += x[9 + x[8] :]
+    return payload, stamps, marks
+
+
+def test_transport_stream_by_another_reader(small):
+    for raw in [b"a" * n for n in (576, 576 * 32, 576 * 33, 576 * 130)] + [mpegts.padded(t.encode()) for _, t in small]:
+        media = mpegts.multiplex(raw)
+        payload, stamps, marks = plain_reader(media)
+        x = mpegts.demultiplex(media)
+        assert payload == raw == x["payload"] and stamps == x["pts"] and marks == x["random_access"]
+
+
+def test_media_that_cannot_be_read(spark):
+    good = mpegts.multiplex(mpegts.padded(b"z" * 5000))
+    packets = [good[i : i + 188] for i in range(0, len(good), 188)]
+    jump = bytearray(packets[6])
+    jump[3] = jump[3] & 0xF0 | (jump[3] + 5) & 15
+    cases = {
+        "good": good,
+        "repeated packet": b"".join([*packets[:6], packets[5], *packets[6:]]),
+        "lost packet": b"".join([*packets[:5], *packets[6:]]),
+        "cut": good[:-100],
+        "out of step": good[1:] + b"x",
+        "no tables": b"".join(packets[2:]),
+        "no map": b"".join([packets[0], *packets[2:]]),
+        "damaged table": packets[0][:20] + b"\0" + packets[0][21:] + b"".join(packets[1:]),
+        "tables only": b"".join(packets[:2]),
+        "last lost": b"".join(packets[:-1]),
+        "random": random.Random(1).randbytes(188 * 5),
+        "field too long": packets[0] + packets[1] + packets[2][:3] + b"\x30\xff" + packets[2][5:] + b"".join(packets[3:]),
+        "jump": b"".join([*packets[:6], bytes(jump), *packets[7:]]),
+        "null": None,
+        "empty": b"",
+    }
+    got = {r.name: r for r in mpegts.load(spark.createDataFrame([(k, None if v is None else bytearray(v), "own") for k, v in cases.items()], "name string, media binary, error string")).collect()}
+    fine = {k for k in cases if got[k].error is None}
+    assert fine == {"good", "repeated packet", "lost packet", "tables only", "jump", "null", "empty"}, fine
+    assert got["lost packet"].cc_errors == 1 and got["lost packet"].payload == mpegts.padded(b"z" * 5000)[184:]
+    assert got["good"].payload == got["repeated packet"].payload == got["jump"].payload == mpegts.padded(b"z" * 5000)
+    assert (got["good"].cc_errors, got["repeated packet"].cc_errors, got["jump"].cc_errors) == (0, 0, 2)
+    assert got["cut"].payload is None and got["tables only"].payload == b""
+
+
 def test_media_columns(spark, docs):
     out = mpegts.load(mpegts.store(docs))
     for r in out.collect():
@@ -275,6 +348,14 @@ def test_embeddings(spark):
     assert embedding_dedup.near_copies(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    """Links and components belong to vectors: rows of one id with unlike vectors have their own."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.01]), (3, [1.0, 0.0]), (4, [0.0, 5.0]), (1, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "own", 1) for r in rows], "vec_id long, embedding array<float>, first string, key int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_copies(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False)]
+
+
 def test_bounds_stop_nothing_that_links():
     rng = np.random.default_rng(6)
     x = embedding_dedup.unit(np.concatenate([rng.normal(size=(200, 64)), rng.normal(size=(5, 64)).repeat(20, 0) + rng.normal(size=(100, 64)) * 0.2]))
