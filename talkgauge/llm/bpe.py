@@ -6,7 +6,9 @@ sentencepiece is the lowest-ranked merge of the rank file. Normalisation is the
 into pre-tokens by the tokenizer's pattern, each pre-token is encoded for itself, and ids are decoded by
 the inverse mapping. No tokenizer is trained and no vocabulary is copied: the rank file is a parameter.
 
-Nulls are empty texts: no ids, no bytes. Very long texts and very long pre-tokens are encoded whole.
+Nulls are empty texts: no ids, no bytes. Very long texts and very long pre-tokens are encoded whole. Equal texts
+give equal ids; repeated rows are encoded each. Ties between merges go to the leftmost. An empty table gives an
+empty result. Columns of the table's own that an operator adds are replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import sys
 import uuid
 
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from talkgauge.llm.common import mapped, without
 
-#: A worker forgets the pre-tokens it has seen beyond so many; they are then encoded again.
-CACHE_SIZE = 500_000
+#: A worker forgets the pre-tokens it has seen beyond so many, or so many characters; they are then encoded again.
+CACHE_SIZE, CACHE_CHARS = 500_000, 16 << 20
 #: Bytes of ids in one outgoing batch.
 BATCH_BYTES = 16 << 20
 
@@ -90,6 +91,7 @@ class Codec:
         self.whole = dict(zip(tokens[1:], ranks[1:], strict=True))
         self.bytes_of = dict(zip(ranks[1:], tokens[1:], strict=True))
         self.seen: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, pretokens: set[str]) -> None:
         rest = []
@@ -123,9 +125,12 @@ class Codec:
         try:
             return b"".join(map(self.seen.__getitem__, cut))
         except KeyError:
-            if len(self.seen) > CACHE_SIZE:
+            if len(self.seen) > CACHE_SIZE or self.held > CACHE_CHARS:
                 self.seen.clear()
-            self._learn({t for t in cut if t not in self.seen})
+                self.held = 0
+            new = {t for t in cut if t not in self.seen}
+            self.held += sum(map(len, new))
+            self._learn(new)
             return b"".join(map(self.seen.__getitem__, cut))
 
     def decode(self, ids: bytes) -> bytes:
@@ -133,12 +138,16 @@ class Codec:
 
 
 def _codec(parts, key: str) -> Codec:
-    """One codec a worker process and vocabulary, kept from task to task."""
-    held = sys.__dict__.setdefault("_bpe_codecs", {})
-    if key not in held:
-        held.clear()
-        held[key] = Codec(*parts.value)
-    return held[key]
+    """One codec a worker process and vocabulary, kept from task to task.
+
+    This module travels by value, so its globals are a task's own; what a worker keeps hangs on a library that it imports.
+    """
+    import sentencepiece
+
+    held = getattr(sentencepiece, "_kept_codec", None)
+    if held is None or held[0] != key:
+        sentencepiece._kept_codec = held = (key, Codec(*parts.value))
+    return held[1]
 
 
 def _shipped(df: DataFrame, ranks_path: str, pattern: str):

@@ -1,15 +1,20 @@
 """Binary training rows: token ids packed into fixed rows by best-fit decreasing.
 
-Texts are byte tokens (id = byte + 3; 0 pads, 1 ends a document). A document longer than a row is split
+A document is its token ids and an end mark. A document longer than a row is split
 losslessly: every piece carries its document, its number and whether it is the last. Pieces are packed
 best-fit decreasing: longest first, each into the row with the least room that still holds it, found
-by descending a segment tree over the possible capacities. A row's binary column holds its ids as 16-bit
-little-endian integers, beside the cumulative segment lengths (for attention that stays in a segment) and
-the columns at which positions start again at zero.
-
-Packing is local to a task and needs no exchange: each task packs windows of ``window_bytes`` ids, so memory
-is bounded, a lost task is repeated alone, and at most one part-filled row a size class is left per window.
-Null and empty texts become a single end mark. Repeated rows are packed each for itself.
+by descending a segment tree over the possible capacities. A row's binary column holds its ids as little-endian
+integers (16 bits if the vocabulary allows, else 32), beside the cumulative segment lengths (for attention that
+stays in a segment) and the columns at which positions start again at zero.
+
+Documents are dealt to windows of about ``window_ids`` ids by a hash of their id and tokens, and come to a window in
+the order of both: rows depend on the documents alone, not on how they are stored or partitioned. A window is packed by itself,
+so memory is bounded, a lost task is repeated alone, and at most one part-filled row a size class is left per
+window. Windows end early at twice their size, so rows that repeat one document very often make several.
+
+Null and empty documents become a single end mark; null ids are kept. Repeated rows are packed each for itself. Ties
+between pieces of one length go to the first, and between rows with one capacity to the latest opened. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -17,12 +22,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from talkgauge.llm.common import mapped
 
 ROW = 2048
-PAD, END, OFFSET = 0, 1, 3
-WINDOW_BYTES = 16 << 20
+WINDOW_IDS = 4 << 20
 
 
 class Capacities:
@@ -72,7 +77,7 @@ def best_fit(lengths: np.ndarray, row: int) -> tuple[np.ndarray, int]:
     return out, rows
 
 
-def pack_window(ids: list[np.ndarray], docs: list, row: int):
+def pack_window(ids: list[np.ndarray], docs: list, row: int, pad: int, kind: np.dtype):
     """Packed rows of one window: (ids, cu_seqlens, resets, doc_ids, pieces, last) each."""
     piece_doc, piece_no, spans = [], [], []
     for d, x in enumerate(ids):
@@ -86,7 +91,7 @@ def pack_window(ids: list[np.ndarray], docs: list, row: int):
     bounds = np.searchsorted(where[order], np.arange(n + 1))
     for r in range(n):
         own = order[bounds[r] : bounds[r + 1]].tolist()
-        line = np.full(row, PAD, np.uint16)
+        line = np.full(row, pad, kind)
         ends, at = [0], 0
         for i in own:
             a, b = spans[i]
@@ -96,14 +101,24 @@ def pack_window(ids: list[np.ndarray], docs: list, row: int):
         yield line.tobytes(), ends, ends[:-1], [docs[piece_doc[i]] for i in own], [piece_no[i] for i in own], [spans[i][1] == len(ids[piece_doc[i]]) for i in own]
 
 
-def pack(docs: DataFrame, row: int = ROW, window_bytes: int = WINDOW_BYTES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One line a packed row: ids (binary), n_ids, cu_seqlens, resets, doc_ids, pieces, last."""
+def id_type(vocabulary: int) -> np.dtype:
+    """The integers of packed rows: they hold the vocabulary, its end mark and its padding."""
+    return np.dtype("<u2" if vocabulary + 2 <= 1 << 16 else "<u4")
+
+
+def pack(tokens: DataFrame, vocabulary: int, row: int = ROW, window_ids: int = WINDOW_IDS, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
+    """One line a packed row: ids (binary), n_ids, cu_seqlens, resets, doc_ids, pieces, last.
+
+    ``ids_col`` holds a document's ids below ``vocabulary`` as unsigned 32-bit little-endian integers; ``vocabulary`` itself ends a
+    document, and the number after it pads. ``tokens`` is read twice, so it should be a table.
+    """
     names = ["ids", "n_ids", "cu_seqlens", "resets", "doc_ids", "pieces", "last"]
     kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+    kind, end, pad = id_type(vocabulary), vocabulary, vocabulary + 1
 
     def lines(ids, owners):
         rows = []
-        for made in pack_window(ids, owners, row):
+        for made in pack_window(ids, owners, row, pad, kind):
             rows.append((made[0], made[1][-1], *made[1:]))
             if len(rows) == 2048:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -112,33 +127,43 @@ def pack(docs: DataFrame, row: int = ROW, window_bytes: int = WINDOW_BYTES, text
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
-        ids, owners, size = [], [], 0
+        ids, owners, size, current = [], [], 0, None
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = text.as_buffer() if text.is_valid else b""
-                x = np.empty(len(raw or b"") + 1, np.uint16)
-                x[:-1] = np.frombuffer(raw, np.uint8) if len(x) > 1 else 0
-                x[:-1] += OFFSET
-                x[-1] = END
+            for window, doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if window != current or size >= 2 * window_ids:
+                    if ids:
+                        yield from lines(ids, owners)
+                    ids, owners, size, current = [], [], 0, window
+                own = np.frombuffer(raw.as_buffer() if raw.is_valid else b"", "<u4")
+                if len(own) and int(own.max()) >= vocabulary:
+                    raise ValueError(f"an id of document {doc} is not in a vocabulary of {vocabulary}")
+                x = np.full(len(own) + 1, end, kind)
+                x[:-1] = own
                 ids.append(x)
                 owners.append(doc)
-                size += x.nbytes
-                if size >= window_bytes:
-                    yield from lines(ids, owners)
-                    ids, owners, size = [], [], 0
+                size += len(x)
         if ids:
             yield from lines(ids, owners)
 
-    return mapped(docs.select(id_col, text_col), 
-        run, "ids binary, n_ids int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, pieces array<int>, last array<boolean>"
-    )
+    total = tokens.agg(F.sum(F.coalesce(F.octet_length(ids_col), F.lit(0)) / 4 + 1)).first()[0] or 0
+    windows = max(1, -(-int(total) // window_ids))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(ids_col))
+    dealt = tokens.select(F.pmod(key, F.lit(windows)).alias("window"), F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"), key.alias("key"))
+    dealt = dealt.repartition("window").sortWithinPartitions("window", "doc_id", "key").drop("key")
+    return mapped(dealt, run, "ids binary, n_ids int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, pieces array<int>, last array<boolean>")
 
 
-def unpack(packed_rows: list) -> dict:
-    """Doc id to text, from collected packed rows: the inverse of ``pack`` for ids that are not repeated."""
+def unpack(packed_rows: list, vocabulary: int) -> dict:
+    """Doc id to token ids, from collected packed rows: the inverse of ``pack`` for ids that are not repeated."""
     parts: dict = {}
     for r in packed_rows:
-        line = np.frombuffer(r["ids"], np.uint16)
+        line = np.frombuffer(r["ids"], id_type(vocabulary))
         for k, (doc, piece) in enumerate(zip(r["doc_ids"], r["pieces"], strict=True)):
             parts.setdefault(doc, {})[piece] = line[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]]
-    return {d: (np.concatenate([p[k] for k in sorted(p)])[:-1] - OFFSET).astype(np.uint8).tobytes().decode() for d, p in parts.items()}
+    return {d: np.concatenate([p[k] for k in sorted(p)])[:-1] for d, p in parts.items()}
+
+
+def fill(packed: DataFrame, row: int = ROW) -> float:
+    """The share of the rows' places that hold ids; 1 without rows."""
+    held, rows = packed.agg(F.sum("n_ids"), F.count(F.lit(1))).first()
+    return held / (rows * row) if rows else 1.0

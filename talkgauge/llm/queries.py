@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgauge.llm import bpe, embedding_dedup, langid, licenses, mixing, mpegts, ngram_join, oracles, packing, pii, warc
-from talkgauge.llm.common import read_table
+from talkgauge.llm.common import read_table, written
 
 
 def _tokenizer() -> tuple[str, str]:
@@ -82,7 +82,9 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"))
+    path, pattern = _tokenizer()
+    tokens = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    return packing.pack(written(tokens), len(bpe.read_ranks(path)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

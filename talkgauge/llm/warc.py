@@ -5,12 +5,14 @@ resolved to the latest full response with the same canonical URL that is strictl
 decide whether the two belong together (ETag by weak comparison, else Last-Modified), and the response's
 headers are updated by those of the revisit that RFC 9111 (section 3.2) lets a 304 update.
 
-The as-of join is two-level, so that a URL with very many captures is not one task's work: records are cut
-into time buckets; the latest response before a bucket comes from the buckets' aggregates, and the latest
-one inside it from a window over the bucket. Bodies never travel; only their digests do.
-
-Null URLs resolve to nothing. Records of one time are not earlier than each other; of several responses with
-the latest time, the one with the greatest record id is taken. Null headers count as none.
+The as-of join is two-level, so that a URL with very many captures is not one task's work: its times, once
+records of one time are counted together on the map side, are cut
+into buckets; the latest response before a bucket comes from the buckets' aggregates, and the latest
+one inside it from a window over the bucket's times. Bodies never travel; only their digests do.
+
+Null URLs and null times resolve to nothing. Records of one time are not earlier than each other; of several responses
+with the latest time, the one with the greatest record id is taken. Null headers count as none. Rows that repeat a
+record are resolved each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Seconds in a time bucket.
-BUCKET = 6 * 3600
+BUCKET = 3600
 
 # Headers that describe the stored body or one connection, and that a 304 must not update.
 KEPT_HEADERS = (
@@ -82,16 +84,19 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
         "digest",
         F.coalesce(F.col("headers"), F.array().cast(HEADERS)).cast(HEADERS).alias("headers"),
     )
-    rows = rows.withColumn("bucket", F.floor(F.col("at") / (bucket * 1_000_000)))
     capture = F.when(F.col("full"), F.struct("at", "record_id", "digest", "headers"))
-    per_bucket = rows.filter(F.col("canonical_url").isNotNull()).groupBy("canonical_url", "bucket").agg(F.max(capture).alias("latest"))
-    earlier = W.partitionBy("canonical_url").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = per_bucket.select(F.col("canonical_url").alias("of"), F.col("bucket").alias("in"), F.max("latest").over(earlier).alias("before"))
-    inside = W.partitionBy("canonical_url", "bucket").orderBy("at").rangeBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.max(capture).over(inside)).filter(~F.col("full"))
-    joined = rows.join(before, (F.col("canonical_url") == F.col("of")) & (F.col("bucket") == F.col("in")), "left")
-    source = F.when(F.col("canonical_url").isNotNull(), F.coalesce("inside", "before"))
-    joined = joined.withColumn("source", source)
+    placed = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
+    times = rows.filter(placed).groupBy("canonical_url", "at").agg(F.max(capture).alias("latest"), F.bool_or(~F.col("full")).alias("asked"))
+    times = times.withColumn("bucket", F.floor(F.col("at") / (bucket * 1_000_000)))
+    inside = F.max("latest").over(W.partitionBy("canonical_url", "bucket").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    times = times.withColumn("inside", inside)
+    per_bucket = times.groupBy("canonical_url", "bucket").agg(F.max("latest").alias("latest"))
+    earlier = F.max("latest").over(W.partitionBy("canonical_url").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    before = per_bucket.select(F.col("canonical_url").alias("of"), F.col("bucket").alias("in"), earlier.alias("before"))
+    found = times.filter("asked").join(before, (F.col("canonical_url") == F.col("of")) & (F.col("bucket") == F.col("in")))
+    found = found.select(F.col("canonical_url").alias("of"), F.col("at").alias("then"), F.coalesce("inside", "before").alias("source"))
+    asked = rows.filter(~F.col("full"))
+    joined = asked.join(found, (F.col("canonical_url") == F.col("of")) & (F.col("at") == F.col("then")), "left")
     tag = lambda h: F.regexp_replace(header(h, "etag"), "^W/", "")
     old, new = F.col("source.headers"), F.col("headers")
     etags = tag(old).isNotNull() & tag(new).isNotNull()

@@ -632,6 +632,17 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_awkward(spark):
+    """Null and equal times, repeated records, one hot URL, and columns named like the operator's own."""
+    hot = [(i, "http://h.example/", 1000, 200, f"d{i}", None) for i in range(500)] + [(500 + i, "http://h.example/", 1000, 304, None, None) for i in range(500)]
+    rows = [*hot, (2000, "http://h.example/", 1001, 304, None, None), (2000, "http://h.example/", 1001, 304, None, None), (2001, "http://h.example/", None, 304, None, None), (2002, "http://h.example/", None, 200, "n", None), (None, "http://h.example/", 1001, 304, None, None), (2003, None, 5000, 304, None, None)]
+    df = spark.createDataFrame([(*r, "own", 1, True) for r in rows], "record_id long, url string, at long, status int, digest string, headers array<struct<name:string,value:string>>, source string, bucket int, full boolean")
+    got = warc.resolve_revisits(df.withColumn("ts", F.timestamp_seconds("at"))).collect()
+    assert len(got) == 505 and {r.refers_to for r in got if r.record_id and r.record_id < 1000} == {None}
+    assert [r.refers_to for r in got if r.record_id == 2000] == [499, 499] and [r.digest for r in got if r.record_id is None] == ["d499"]
+    assert all(r.validator == "unresolved" for r in got if r.record_id in (2001, 2003))
+
+
 # ---- 10 ------------------------------------------------------------------------------------------------------
 
 
@@ -651,12 +662,39 @@ def test_best_fit():
 
 
 def test_packing(spark, docs):
-    df = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    for row, window in ((2048, 16 << 20), (16, 400)):
-        rows = [r.asDict() for r in packing.pack(df, row=row, window_bytes=window).collect()]
-        assert packing.unpack(rows) == {r.doc_id: r.text or "" for r in df.collect()}
+    """Lossless, the same however the table is partitioned, and nearly full."""
+    as_ids = F.udf(lambda t: None if t is None else np.frombuffer(t.encode(), np.uint8).astype("<u4").tobytes(), "binary")
+    df = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", as_ids("text").alias("ids"), "key")
+    for row, window, vocabulary in ((2048, 4 << 20, 256), (16, 400, 256), (64, 4000, 1 << 17)):
+        packed = packing.pack(df, vocabulary, row=row, window_ids=window)
+        rows = [r.asDict() for r in packed.collect()]
+        want = {r.doc_id: np.frombuffer(r.ids or b"", "<u4").tolist() for r in df.collect()}
+        assert {d: x.tolist() for d, x in packing.unpack(rows, vocabulary).items()} == want
+        kind = packing.id_type(vocabulary)
         for r in rows:
-            line = np.frombuffer(r["ids"], np.uint16)
-            assert len(line) == row and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_ids"] and r["resets"] == r["cu_seqlens"][:-1] and not line[r["n_ids"] :].any()
-            assert all(line[e - 1] == packing.END for e, last in zip(r["cu_seqlens"][1:], r["last"], strict=True) if last)
-    assert packing.pack(empty(spark)).count() == 0 and packing.pack(docs).count() > 0
+            line = np.frombuffer(r["ids"], kind)
+            assert len(line) == row and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_ids"] and r["resets"] == r["cu_seqlens"][:-1] and (line[r["n_ids"] :] == vocabulary + 1).all()
+            assert all((line[e - 1] == vocabulary) == last for e, last in zip(r["cu_seqlens"][1:], r["last"], strict=True))
+        again = packing.pack(df.repartition(7), vocabulary, row=row, window_ids=window).collect()
+        assert sorted(r.ids for r in again) == sorted(r["ids"] for r in rows)
+        least = sum(len(x) + 1 for x in want.values()) / row
+        windows = -(-sum(len(x) + 1 for x in want.values()) // window)
+        assert len(rows) <= 11 / 9 * least + 2 * windows and packing.fill(packed, row) == pytest.approx(least / len(rows))
+    assert packing.pack(df.limit(0), 256).count() == 0 and packing.fill(packing.pack(df.limit(0), 256)) == 1.0
+    assert packing.pack(df.unionByName(df).withColumn("doc_id", F.lit(None).cast("long")), 256).count() > 0
+    with pytest.raises(Exception, match="vocabulary of 10"):
+        packing.pack(df, 10).collect()
+
+
+def test_packed_token_ids(spark, tokenizer):
+    """The registered query packs the tokenizer's ids of every whole text, and nearly fills its rows."""
+    import tiktoken
+
+    path, pattern = tokenizer
+    ranks = bpe.read_ranks(path)
+    exact = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    packed = queries.op10_token_packing(spark, SF)
+    got = packing.unpack([r.asDict() for r in packed.collect()], len(ranks))
+    assert {r.doc_id: got[r.doc_id].tolist() for r in docs.collect()} == {r.doc_id: exact.encode_ordinary(r.text or "") for r in docs.collect()}
+    assert packing.fill(packed) > 0.97
