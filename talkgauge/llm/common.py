@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Functions of this package travel by value: executors need not have it installed.
@@ -93,6 +93,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
 
 
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(table: DataFrame, held: Column | None = None) -> DataFrame:
+    """``table`` marked for broadcast if it has at most BROADCAST_BYTES, by a count: 64 a row, and ``held`` bytes more."""
+    n, size = table.agg(F.count(F.lit(1)), F.sum(F.lit(0) if held is None else held)).first()
+    return F.broadcast(table) if n * 64 + (size or 0) <= BROADCAST_BYTES else table
+
+
 #: Columns that tell the rows of a stored table apart: the file, by two hashes of its path, and the row's place in it.
 POSITION = ("_file1", "_file2", "_row")
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import POSITION, positioned, scratch, written
+from talkgauge.llm.common import POSITION, broadcast_if_small, positioned, scratch, written
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
@@ -35,8 +35,6 @@ SEED = 7
 #: Units that one task rounds together, about; and residues that one node of the tree combines.
 CHUNK = 4096
 FAN_IN = 64
-#: Bytes up to which the table of sources is broadcast; beyond that it is joined by exchange.
-BROADCAST_BYTES = 16 << 20
 
 #: What rows of one unit have in common (the source by its rank).
 _UNIT = ("source_at", "id_key", "text_key")
@@ -113,12 +111,6 @@ def _rounding(salt: int, last: bool):
     return run
 
 
-def _small(table: DataFrame, letters: str | None = None) -> DataFrame:
-    """``table`` marked for broadcast if it is small, by a count of its rows and of the bytes in its column ``letters``."""
-    n, size = table.agg(F.count(F.lit(1)), F.sum(F.octet_length(letters)) if letters else F.lit(0)).first()
-    return F.broadcast(table) if n * 64 + (size or 0) <= BROADCAST_BYTES else table
-
-
 def _rounded(units: DataFrame, most_units: int, chunk: int, seed: int) -> DataFrame:
     """``units`` with part rounded to 0 or 1, by the reduction tree."""
     # Units without words, and sources taken a whole number of times, have nothing to round.
@@ -166,7 +158,7 @@ def _mixed(docs: DataFrame, weights, most, seed, chunk, text_col, source_col, id
         )
     )
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    dim = _small(sources.withColumnRenamed("source", "of"), "of")
+    dim = broadcast_if_small(sources.withColumnRenamed("source", "of"), F.octet_length("of"))
     rows = sized.join(dim, F.col("source").eqNullSafe(F.col("of"))).drop("of", "weight")
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     units = rows.groupBy(*_UNIT).agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.max(times).alias("times"), F.min(F.struct(*POSITION)).alias("first"))
@@ -174,7 +166,7 @@ def _mixed(docs: DataFrame, weights, most, seed, chunk, text_col, source_col, id
     counts = written(units.filter("size > 0").groupBy("source_at").agg(F.count(F.lit(1)).alias("n_units")))
     most_units = counts.agg(F.max("n_units")).first()[0] or 0
     chunks = F.coalesce(F.ceil(F.col("n_units") / chunk), F.lit(1))
-    dealt = units.join(_small(counts), "source_at", "left").select(
+    dealt = units.join(broadcast_if_small(counts), "source_at", "left").select(
         *_UNIT,
         "size",
         "rows",

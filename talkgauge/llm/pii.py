@@ -23,7 +23,9 @@ character class. Marking keeps every position; the mark characters themselves ar
 before. All is done with DataFrame functions.
 
 A null text is an empty text: it has no spans, and stays null in the sanitised column. Values that occur in
-no other text disclose nothing. Repeated rows are treated alike; an empty table gives an empty result.
+no other text disclose nothing. Of terms that point to several kinds of values, ties go to the last kind by name.
+Repeated rows are treated alike and counted once; texts of any length are taken whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -32,21 +34,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkgauge.functions.spans import none, places
-from talkgauge.llm.common import without, written
+from talkgauge.llm.common import broadcast_if_small, scratch, without, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
-#: Words on each side of a value that make its context, and characters in which they are looked for.
-CONTEXT_WORDS, CONTEXT_CHARS = 5, 96
+#: Words on each side of a value that make its context; other values between them are passed over.
+CONTEXT_WORDS = 5
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 WORD = r"\p{L}{3,}"
-#: Rows up to which a table of terms or of texts with terms is broadcast; larger ones are joined by exchange.
-BROADCAST_ROWS = 20_000
 
-_DOT, _GAP, _NONE = "\x01", "\x02", "\x03"
+_DOT, _GAP, _NONE, _VALUE = "\x01", "\x02", "\x03", "\x04"
 _LOCAL = rf"A-Za-z0-9._%+{_DOT}\-"
 _EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++{_DOT}[A-Za-z0-9{_DOT}-]++"
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -55,7 +55,10 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
 
 def base_spans(text: Column) -> Column:
-    """The values of all kinds in a text that is not null: (start, k, end, value), by start and then kind."""
+    """The values of all kinds in a text that is not null: (start, k, end, value), by start and then kind.
+
+    The value is as it is counted: addresses in lower case, of cards and phones the digits.
+    """
     clean = F.translate(text, _DOT + _GAP, _NONE + _NONE)
     dotted = F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
     spaced = F.regexp_replace(clean, "(?<=[0-9])[ -](?=[0-9])", _GAP)
@@ -79,8 +82,10 @@ def base_spans(text: Column) -> Column:
         F.filter(phone, lambda x: F.length(digits_of(x)).between(10, 15)),
     )
 
+    said = (lambda x: F.lower(F.translate(x["value"], _DOT, ".")), lambda x: x["value"], digits_of, digits_of)
+
     def marked(spans: Column, k: int) -> Column:
-        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end")))
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), said[k](x).alias("value")))
 
     return F.array_sort(F.concat(*[marked(spans, k) for k, spans in enumerate(checked)]))
 
@@ -103,27 +108,38 @@ def spans_text(spans: Column) -> Column:
     return _digest(spans, kind_names())
 
 
-def _replaced(text: Column, spans: Column, by) -> Column:
-    """``text`` with every stretch that spans cover replaced; ``by`` makes a stretch's replacement from its first span and length."""
-    merged_type = "array<struct<start:int,end:int,k:int,say:string>>"
+_STRETCHES = "array<struct<start:int,end:int,say:string,of:array<struct<k:int,value:string>>>>"
+
+
+def _stretches(spans: Column) -> Column:
+    """The stretches that spans (start, k, end, value, say) cover, each with what its first span says and what it holds."""
 
     def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        own = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["k"].alias("k"), x["say"].alias("say"))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["k"].alias("k"), last["say"].alias("say"))
+        last, held = F.element_at(acc, -1), F.array(F.struct(x["k"].alias("k"), x["value"].alias("value")))
+        own = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["say"].alias("say"), held.alias("of"))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["say"].alias("say"), F.concat(last["of"], held).alias("of"))
         inside = (F.size(acc) > 0) & (x["start"] < F.when(F.size(acc) > 0, last["end"]))
         return F.when(inside, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(own)))
 
-    merged = F.aggregate(spans, F.from_json(F.lit("[]"), merged_type), merge)
-    begins = F.concat(F.array(F.lit(0)), F.transform(merged, lambda x: x["end"]))
+    return F.aggregate(spans, F.from_json(F.lit("[]"), _STRETCHES), merge)
+
+
+def _replaced(text: Column, stretches: Column, by) -> Column:
+    """``text`` with every stretch replaced by what ``by`` makes of it."""
+    begins = F.concat(F.array(F.lit(0)), F.transform(stretches, lambda x: x["end"]))
     pieces = F.zip_with(
         begins,
-        F.concat(merged, F.array(F.lit(None).cast("struct<start:int,end:int,k:int,say:string>"))),
+        F.concat(stretches, F.array(F.lit(None).cast(_STRETCHES[6:-1]))),
         lambda at, x: F.when(x.isNull(), F.substring(text, at + 1, F.length(text))).otherwise(F.concat(F.substring(text, at + 1, x["start"] - at), by(x))),
     )
     return F.array_join(pieces, "")
 
 
+def _saying(spans: Column, say) -> Column:
+    """Spans (start, k, end, value) with ``say``, which is made of each span."""
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), x["value"].alias("value"), say(x).alias("say")))
+
+
 def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with base_spans: (start, k, end) by start and kind, in code points of the text."""
     docs = without(docs, "base_spans")
@@ -136,24 +152,24 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def contexts(spanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, value, words, key1, key2) of every base span; the other values of the text are blanked out before."""
-    rows = spanned.filter(F.size("base_spans") > 0)
-    text = F.col(text_col)
-    said = F.transform("base_spans", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), F.lit("").alias("say")))
-    rows = rows.withColumn("masked", _replaced(text, said, lambda x: F.repeat(F.lit(" "), x["end"] - x["start"])))
-    rows = rows.select(text.alias("text"), "masked", F.explode("base_spans").alias("span"))
-    start, end, kind = F.col("span.start"), F.col("span.end"), F.element_at(kind_names(), F.col("span.k") + 1)
-    raw = F.substring(F.col("text"), start + 1, end - start)
-    value = F.when(kind == "email", F.lower(raw)).when(kind == "ip", raw).otherwise(F.regexp_replace(raw, "[^0-9]", ""))
-    before = F.substring(F.col("masked"), F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-    before = F.when(start > CONTEXT_CHARS, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.substring(F.col("masked"), end + 1, F.lit(CONTEXT_CHARS))
-    after = F.when(F.length("masked") > end + CONTEXT_CHARS, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
-    left, right = words(before), words(after)
-    left = F.slice(left, F.greatest(F.size(left) - CONTEXT_WORDS, F.lit(0)) + 1, CONTEXT_WORDS)
-    beside = F.array_distinct(F.concat(left, F.slice(right, 1, CONTEXT_WORDS)))
-    return rows.select(kind.alias("kind"), value.alias("value"), beside.alias("words"), *_text_key(F.col("text"))[:2])
+    """(kind, value, words, key1, key2) of every base span: the words nearest to it, CONTEXT_WORDS on each side.
+
+    Values are replaced by marks, and a text's words and marks are listed in order: the words before the j-th mark are
+    then as many as its place less j.
+    """
+    rows = spanned.filter(F.size("base_spans") > 0).select(F.col(text_col).alias("text"), _stretches(_saying(F.col("base_spans"), lambda _: F.lit(""))).alias("stretches"))
+    marked = _replaced(F.translate("text", _VALUE, " "), F.col("stretches"), lambda _: F.lit(_VALUE))
+    rows = rows.select(*_text_key(F.col("text"))[:2], "stretches", F.regexp_extract_all(F.lower(marked), F.lit(f"{WORD}|{_VALUE}"), F.lit(0)).alias("listed"))
+    words = F.filter("listed", lambda x: x != _VALUE)
+    marks = F.filter(F.transform("listed", lambda x, i: F.when(x == _VALUE, i)), lambda i: i.isNotNull())
+    rows = rows.select("key1", "key2", "stretches", words.alias("words"), F.transform(marks, lambda i, j: i - j).alias("before"))
+
+    def beside(n: Column) -> Column:
+        return F.concat(F.slice("words", F.greatest(n - CONTEXT_WORDS, F.lit(0)) + 1, F.least(n, F.lit(CONTEXT_WORDS))), F.slice("words", n + 1, CONTEXT_WORDS))
+
+    each = F.zip_with("stretches", "before", lambda x, n: F.struct(x["of"].alias("of"), F.array_distinct(beside(n)).alias("words")))
+    rows = rows.select("key1", "key2", F.inline(each)).select("key1", "key2", "words", F.inline("of"))
+    return rows.select(F.element_at(kind_names(), F.col("k") + 1).alias("kind"), "value", "words", "key1", "key2")
 
 
 def _words(text: Column) -> Column:
@@ -176,11 +192,10 @@ def disclosing_terms(spanned: DataFrame, text_col: str = "text", min_contexts: i
     least = beside.select("term", "key1", "key2").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least_n_t"))
     pairs = written(pairs.join(least, "term").filter(disclosure(F.col("least_n_t")) >= generalise))
     terms = written(pairs.select("term").distinct())
-    n_terms = terms.count()
-    if not n_terms:
+    if terms.isEmpty():
         return None
     held = spanned.select(*_text_key(text), F.explode(_words(text)).alias("held"))
-    held = held.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, F.col("held") == F.col("term"))
+    held = held.join(broadcast_if_small(terms, F.octet_length("term")), F.col("held") == F.col("term"))
     texts = held.select("term", "key1", "key2").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = pairs.join(texts, "term")
     scored = scored.withColumn("disclosure", disclosure(F.col("n_t"))).filter(F.col("disclosure") >= generalise)
@@ -192,27 +207,34 @@ def sanitise(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_CO
     """``docs`` with base_spans, spans (also those of disclosing terms: k is 4, with what to say) and sanitised."""
     docs = without(docs, "base_spans", "spans", "sanitised")
     spanned = with_base_spans(docs, text_col)
-    terms = disclosing_terms(spanned, text_col, min_contexts, generalise)
-    text = F.col(text_col)
+    text, keys = F.col(text_col), _text_key(F.coalesce(F.col(text_col), F.lit("")))
     places_of = F.array(*[F.lit(PLACEHOLDERS[k]) for k in KINDS])
-    based = F.transform("base_spans", lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), F.element_at(places_of, x["k"] + 1).alias("say")))
-    if terms is None or terms.isEmpty():
-        out = spanned.withColumn("spans", based)
-    else:
-        said = F.when(F.col("disclosure") >= remove, F.lit("")).otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit(" TERM]")))
-        known = terms.select("term", said.alias("say"))
-        held = docs.select(*_text_key(F.coalesce(text, F.lit(""))), F.explode(_words(F.coalesce(text, F.lit("")))).alias("held"))
-        held = held.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, F.col("held") == F.col("term"))
-        hits = written(held.groupBy("key1", "key2", "key3").agg(F.map_from_entries(F.collect_set(F.struct("term", "say"))).alias("_says")))
-        hits = hits.select("_says", *[F.col(f"key{i}").alias(f"_hit{i}") for i in (1, 2, 3)])
-        hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
-        keys = _text_key(F.coalesce(text, F.lit("")))
-        joined = spanned.join(hits, (keys[0] == F.col("_hit1")) & (keys[1] == F.col("_hit2")) & (keys[2] == F.col("_hit3")), "left")
+    with scratch(docs.sparkSession) as keep:
+        terms = disclosing_terms(spanned, text_col, min_contexts, generalise)
+        hits = None
+        if terms is not None:
+            said = F.when(F.col("disclosure") >= remove, F.lit("")).otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit(" TERM]")))
+            known = broadcast_if_small(terms.select("term", said.alias("say")), F.octet_length("term"))
+            held = docs.select(*keys, F.explode(_words(F.coalesce(text, F.lit("")))).alias("held")).join(known, F.col("held") == F.col("term"))
+            hits = held.groupBy("key1", "key2", "key3").agg(F.map_from_entries(F.collect_set(F.struct("term", "say"))).alias("_says"))
+            hits = keep(hits.select("_says", *[F.col(f"key{i}").alias(f"_hit{i}") for i in (1, 2, 3)]))
+    spans = _saying(F.col("base_spans"), lambda x: F.element_at(places_of, x["k"] + 1))
+    joined = spanned
+    if hits is not None:
+        joined = spanned.join(broadcast_if_small(hits, 64 * F.size("_says")), (keys[0] == F.col("_hit1")) & (keys[1] == F.col("_hit2")) & (keys[2] == F.col("_hit3")), "left")
         found = F.filter(places(text, WORD), lambda x: F.map_contains_key(F.col("_says"), F.lower(x["value"])))
-        found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("k"), x["end"].alias("end"), F.element_at(F.col("_says"), F.lower(x["value"])).alias("say")))
+        found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("k"), x["end"].alias("end"), F.lower(x["value"]).alias("value")))
+        found = _saying(found, lambda x: F.element_at(F.col("_says"), x["value"]))
         # A term inside a value is covered by it already.
         found = F.filter(found, lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        spans = F.when(F.col("_says").isNull(), based).otherwise(F.array_sort(F.concat(based, found)))
-        out = joined.withColumn("spans", spans).select(*spanned.columns, "spans")
-    clean = F.when(F.size("spans") > 0, _replaced(text, F.col("spans"), lambda x: x["say"])).otherwise(text)
-    return out.withColumn("sanitised", clean)
+        spans = F.when(F.col("_says").isNull(), spans).otherwise(F.array_sort(F.concat(spans, found)))
+    out = joined.withColumn("_spans", spans)
+    clean = F.when(F.size("_spans") > 0, _replaced(text, _stretches(F.col("_spans")), lambda x: x["say"])).otherwise(text)
+    # The values themselves stay behind.
+    place = lambda x: (x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"))
+    return out.select(
+        *[spanned[c] for c in docs.columns],
+        F.transform("base_spans", lambda x: F.struct(*place(x))).alias("base_spans"),
+        F.transform("_spans", lambda x: F.struct(*place(x), x["say"].alias("say"))).alias("spans"),
+        clean.alias("sanitised"),
+    )

@@ -99,6 +99,58 @@ def test_pii_terms_of_a_shared_signature(spark):
     assert clean[1000] == "Qwertz said [EMAIL] once"  # exact copies are one text
 
 
+def brute_terms(texts, least=3, generalise=0.8):
+    """The disclosing terms, counted text by text: {term: (kind, disclosure)}."""
+    texts = sorted(set(texts))
+    words_of = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+    holds, beside, held = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for w in words_of(t):
+            held[w].add(i)
+        found = sorted((int(s), k, int(e)) for k, s, e in (x.split(":") for x in spans(t).split(",") if x))
+        stretches = []
+        for s, k, e in found:
+            if stretches and s < stretches[-1][1]:
+                stretches[-1] = (stretches[-1][0], max(e, stretches[-1][1]), stretches[-1][2] + [(k, s, e)])
+            else:
+                stretches.append((s, e, [(k, s, e)]))
+        for a, b, own in stretches:
+            blank = list(t)
+            for x, y, _ in stretches:
+                blank[x:y] = " " * (y - x)
+            near = re.findall(r"[^\W\d_]{3,}", "".join(blank[:a]))[-5:] + re.findall(r"[^\W\d_]{3,}", "".join(blank[b:]))[:5]
+            for k, s, e in own:
+                raw = t[s:e]
+                value = (k, raw.lower() if k == "email" else raw if k == "ip" else re.sub("[^0-9]", "", raw))
+                holds[value].add(i)
+                for w in {w.lower() for w in near}:
+                    beside[value, w].add(i)
+    out = {}
+    for (value, w), seen in beside.items():
+        n_c, n_t, n_ct = len(holds[value]), max(len(held[w]), len(seen)), len(seen)
+        score = 1 - np.log(n_t / n_ct) / np.log(max(len(texts), n_c + 1) / n_c)
+        if n_ct >= least and score >= generalise:
+            out[w] = max(out.get(w, (0, "")), (score, value[0]))
+    return out
+
+
+def test_pii_terms_like_brute_force(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice(x) for x in ("bcdfg", "aeiou", "klmnp", "aeiou", "rst")) for _ in range(300)]
+    secrets = [("ann@corp.example", "Zorblax"), ("10.1.2.3", "Kwyjibo"), ("+1 (212) 555-0147", "Vexor"), ("4111 1111 1111 1111", "Quonset"), ("bo.b@x.example.org", "Wibble" * 30)]
+    texts = []
+    for i in range(300):
+        body = [rng.choice(words) for _ in range(rng.randrange(0, 60))]
+        for value, name in rng.sample(secrets, rng.randrange(0, 4)):
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = rng.choice([[name, value], [value, "is", name], [name, "10.9.9.9", "200.0.0.1", value], [value]])
+        texts += [" ".join(body)] * rng.choice([1, 1, 3])
+    rows = [*enumerate(texts), (9000, None), (9001, "")]
+    terms = pii.disclosing_terms(pii.with_base_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    want = brute_terms([t or "" for _, t in rows])
+    assert len(want) > 3 and {r.term: (pytest.approx(r.disclosure), r.kind) for r in terms} == want
+
+
 def test_pii_awkward(docs, spark):
     out = pii.sanitise(docs)
     assert out.count() == docs.count() and pii.sanitise(empty(spark)).count() == 0
