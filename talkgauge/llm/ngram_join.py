@@ -5,7 +5,7 @@ order of n-grams, two sets that are similar enough share an n-gram among the fir
 is by how many texts hold an n-gram, rare first, read from a count sketch over all texts (any order is right;
 the sketch, whose size follows the texts' up to a bound, makes common n-grams come last), then by hash. Texts are joined on the
 prefix n-grams; the length filter and the positional filter drop pairs in the join, the suffix filter
-drops those whose suffixes, split at fixed pivots, differ in too many places by the sizes of their parts,
+drops those whose suffixes, split at fixed pivots into more parts the larger they are, differ in too many places by the sizes of the parts,
 and each pair that is left is verified once on the whole sets.
 
 Pairs within a group of copies are not all made. First every text is paired with a few leaders of its
@@ -37,8 +37,10 @@ LEAST_SKETCH, MOST_SKETCH, CHARS_A_COUNTER = 1 << 14, 1 << 22, 600
 SKETCH_BLOCK = 1 << 14
 #: Bits of the filter over the ids whose sets are wanted: a fixed size.
 FILTER_BITS = 1 << 23
-#: Parts into which the suffix filter splits a set.
-PARTS = 128
+#: Parts into which the suffix filter splits a set: so many at least, and one for so many n-grams at least.
+LEAST_PARTS, GRAMS_A_PART = 128, 8
+#: n-grams are exchanged in so many rounds, by the first bits of their hash, so that the exchange takes this part of the room.
+SLICES = 4
 #: Times that the best pair between two components is tried before all that are left are verified.
 ROUNDS = 2
 
@@ -61,7 +63,8 @@ def _features(k: int, size: int):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     sig.append((mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mixed(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)))
-                parts.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+                bits = max(LEAST_PARTS, len(s) // GRAMS_A_PART).bit_length() - 1
+                parts.append(np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes())
                 np.add.at(counts, (s & np.uint64(size - 1)).astype(np.int64), 1)
             sig = np.array(sig, np.uint64).reshape(-1, 2).view(np.int64)
             none = b.num_rows
@@ -152,18 +155,25 @@ def _filter_bits(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
+    """The least number of n-grams that only one of two sets holds, by the sizes of their parts; halves of a part are added up where one set has more parts."""
+    n = min(len(x), len(y))
+    x, y = (v.reshape(n, -1).sum(1, dtype=np.int64) for v in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def _suffix_filter(percent: int):
     """Keeps pairs that may be similar: says whether they are the same set, and drops those whose parts differ too much."""
 
     def run(batches):
         for b in batches:
             n, m = (np.asarray(b.column(c)).astype(np.int64) for c in ("n_a", "n_b"))
-            parts = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("parts_a", "parts_b")]
-            need = -(-percent * (n + m) // (100 + percent))
-            room = n + m - 2 * need - np.abs(parts[0] - parts[1]).sum(1)
             same = np.asarray(b.column("same"))
+            parts = ([np.frombuffer(x.as_buffer(), np.uint8) for x in b.column(c)] for c in ("parts_a", "parts_b"))
+            apart = np.array([_differing(x, y) for x, y in zip(*parts, strict=True)], np.int64)
+            room = n + m - 2 * -(-percent * (n + m) // (100 + percent)) - apart
             keep = same | (room >= 0) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same), pa.array(room / (n + m))], names=["a", "b", "same", "room"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(same), pa.array(room / np.maximum(n + m, 1))], names=["a", "b", "same", "room"]).filter(pa.array(keep))
 
     return run
 
@@ -229,40 +239,55 @@ class _Join:
 
     def groups(self) -> DataFrame:
         """(node, component) of every text that has a link."""
-        t = self.percent
-        # Copies with the same set: one link to the first of them each.
-        sets = ["n", "sig1", "sig2"]
-        whole = self.features.filter("n > 0 and doc_id is not null")
-        firsts = written(whole.groupBy(*sets).agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts"))
-        groups = components(whole.join(firsts, sets).select("a", F.col("doc_id").alias("b")).filter("a <> b"))
-        prefixes = written(mapped(self.texts, _prefixes(self.k, t, self.sketch), "gram long, doc_id long, n int, place int"))
-        shared = written(prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("gram"))
-        band = lambda shift: F.floor(F.log(F.col("n").cast("double")) / math.log(100 / t) + shift).cast("int")
-        active = written(prefixes.join(shared, "gram").withColumn("band", band(0.0)).withColumn("band2", band(0.5)))
+        spark = self.texts.sparkSession
+        with scratch(spark) as keep:
+            # Copies with the same set: one link to the first of them each.
+            sets = ["n", "sig1", "sig2"]
+            whole = self.features.filter("n > 0 and doc_id is not null")
+            firsts = written(whole.groupBy(*sets).agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts"))
+            groups = keep(components(whole.join(firsts, sets).select("a", F.col("doc_id").alias("b")).filter("a <> b")))
+        with scratch(spark) as keep:
+            prefixes = written(mapped(self.texts, _prefixes(self.k, self.percent, self.sketch), "gram long, doc_id long, n int, place int"))
+            active = None
+            for number in range(SLICES):
+                with scratch(spark):
+                    own = prefixes.filter(F.pmod(F.shiftrightunsigned("gram", 32), F.lit(SLICES)) == number)
+                    shared = written(own.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("gram"))
+                    part = keep(own.join(shared, "gram"))
+                active = part if active is None else active.unionByName(part)
+        with scratch(spark) as keep:
+            pairs = self.likely(written(self._apart(self._led(active), groups).select("a", "b")))
+            groups = keep(merged(groups, self.verified(pairs, self.sets_of(pairs))))
+        with scratch(spark) as keep:
+            pairs = keep(self._across(active, groups))
+        with scratch(spark) as keep:
+            pairs = self.likely(pairs)
+            wanted = self.sets_of(pairs)
+            # Of the pairs between two components, first that which leaves most room: one link makes the others needless.
+            for _ in range(ROUNDS):
+                apart = written(self._apart(pairs, groups))
+                best = apart.groupBy(F.least("in_a", "in_b"), F.greatest("in_a", "in_b")).agg(F.max(F.struct("room", "a", "b", "same")).alias("best")).select("best.*")
+                good = self.verified(written(best), wanted)
+                if good.isEmpty():
+                    break
+                groups = merged(groups, good)
+            return keep(merged(groups, self.verified(written(self._apart(pairs, groups)), wanted)))
+
+    def _led(self, active: DataFrame) -> DataFrame:
+        """Every text with a few leaders of its n-grams in its band of lengths."""
+        band = lambda shift: F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent) + shift).cast("int")
         # The first text of a band is often what the others were copied from; another, drawn by hash, helps where it isn't.
         lead = [F.min("doc_id").alias("first"), F.min(F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id"))["doc_id"].alias("drawn")]
         found = []
-        for by in ("band", "band2"):
-            leaders = written(active.groupBy("gram", by).agg(*lead, F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts"))
-            own = active.select("gram", by, F.col("doc_id").alias("b")).join(leaders, ["gram", by])
+        for shift in (0.0, 0.5):
+            rows = active.select("gram", band(shift).alias("band"), "doc_id")
+            leaders = written(rows.groupBy("gram", "band").agg(*lead, F.count(F.lit(1)).alias("texts")).filter("texts > 1").drop("texts"))
+            own = rows.withColumnRenamed("doc_id", "b").join(leaders, ["gram", "band"])
             own = own.select("b", F.posexplode(F.array("first", "drawn")).alias("kind", "a")).filter("a <> b").groupBy("b", "kind", "a").agg(F.count(F.lit(1)).alias("grams"))
             # Of a text's leaders of one kind, the one with which it shares the most n-grams.
             best = own.groupBy("b", "kind").agg(F.max(F.struct("grams", "a"))["a"].alias("a"))
             found.append(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        pairs = self._apart(found[0].unionByName(found[1]).distinct(), groups).select("a", "b")
-        pairs = self.likely(written(pairs))
-        groups = merged(groups, self.verified(pairs, self.sets_of(pairs)))
-        pairs = self.likely(self._across(active, groups))
-        wanted = self.sets_of(pairs)
-        # Of the pairs between two components, first that which leaves most room: one link makes the others needless.
-        for _ in range(ROUNDS):
-            apart = written(self._apart(pairs, groups))
-            best = apart.groupBy(F.least("in_a", "in_b"), F.greatest("in_a", "in_b")).agg(F.max(F.struct("room", "a", "b", "same")).alias("best")).select("best.*")
-            good = self.verified(written(best), wanted)
-            if good.isEmpty():
-                break
-            groups = merged(groups, good)
-        return merged(groups, self.verified(written(self._apart(pairs, groups)), wanted))
+        return found[0].unionByName(found[1]).distinct()
 
     def _apart(self, pairs: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs of different components, with these."""
