@@ -6,31 +6,33 @@ separates words. The measure is Dice over multisets of bigrams, 2 |A and B| / (|
 bigrams is one smaller than the words, so sizes are known before any bigram is made: a template of size b
 can reach the threshold t only for a in [b t / (2 - t), b (2 - t) / t]. Parts that no template's bounds admit
 are dropped first; the others' bigrams meet the templates' in an equi-join with a broadcast table of fixed
-size. That is done with DataFrame functions.
+size. All is done with DataFrame functions.
 
 A notice that is longer than a line and shorter than its paragraph or text, such as a licence of several
 paragraphs inside a longer document or a header in a comment block, is found as a run of consecutive lines
-(``runs``). A template can only be reached by a run that holds one of its anchors (rare bigrams, one more of
-them than a matching run can lack), so only texts with an anchor's word go to Python, where a template's
-size bounds slide over their lines. A run counts where it says more than the other parts: the best of the
-runs that overlap, unless a part that overlaps it has the same licence at least as well, or holds all of it.
+(``runs``). A run can only reach a template if it holds one of its anchors (rare bigrams, one more of
+them than a matching run can lack), so only texts with an anchor's word are cut into bigrams; of these only
+texts that hold enough of a template's bigrams go on. The best run that begins at a line is reported
+where it says more than what overlaps it: no run of other lines is better (ties go to fewer lines, then to the
+first), and no part matches the same licence at least as well, or holds the run and matches.
 A notice that begins or ends inside a longer line is not found.
 
 Null and empty texts have no parts with words and match nothing. Rows that repeat a document are scanned
-each, with the same result. A template matches at most once per part; ties go to the first licence by name.
+each, with the same result. A template matches at most once per part; ties go to the first licence by name. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkgauge.llm.common import mapped, without
+from talkgauge.llm.common import broadcast_if_small, scratch, without, written
 
 THRESHOLD = 0.85
 
@@ -118,6 +120,16 @@ def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tup
     return rows
 
 
+def _bigram_table(spark: SparkSession, templates, threshold: float) -> DataFrame:
+    """The templates' bigrams by hash; its size is that of the templates."""
+    table = spark.createDataFrame(template_rows(templates, threshold), "license string, template int, size int, least int, most int, w1 string, w2 string, times int")
+    return table.select("license", "template", "size", "least", "most", F.xxhash64("w1", "w2").alias("bigram"), "times")
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _line_words(line: Column) -> Column:
     words = F.filter(F.split(F.lower(line), _NOT_WORD), lambda w: w != "")
     return F.when(line.rlike(_COPYRIGHT), F.array().cast("array<string>")).otherwise(words)
@@ -151,22 +163,20 @@ def parts(text: Column, most: int) -> Column:
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text_key, part, license, dice): the best template of every part that reaches the threshold."""
-    spark = docs.sparkSession
-    rows = template_rows(templates, threshold)
-    table = spark.createDataFrame(rows, "license string, template int, size int, least int, most int, w1 string, w2 string, times int")
-    table = table.select("license", "template", "size", "least", "most", F.xxhash64("w1", "w2").alias("bigram"), "times")
+    rows, table = template_rows(templates, threshold), _bigram_table(docs.sparkSession, templates, threshold)
     sizes = sorted({(r[3], r[4]) for r in rows})
     text = F.coalesce(F.col(text_col), F.lit(""))
     fits = lambda p: (F.size(p["words"]) > min(lo for lo, _ in sizes)) & (F.size(p["words"]) <= max(hi for _, hi in sizes) + 1)
-    units = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.inline(F.filter(parts(text, max(hi for _, hi in sizes) + 1), fits)))
+    units = docs.select(F.col(id_col).alias("doc_id"), _text_key(text).alias("text_key"), F.inline(F.filter(parts(text, max(hi for _, hi in sizes) + 1), fits)))
     units = units.withColumn("n", F.size("words") - 1)
     admitted = F.lit(False)
     for lo, hi in sizes:
         admitted = admitted | F.col("n").between(lo, hi)
     pairs = units.filter(admitted & (F.col("n") > 0)).withColumn("at", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    pairs = pairs.select("doc_id", "text_key", "part", "n", F.xxhash64(F.element_at("words", F.col("at")), F.element_at("words", F.col("at") + 1)).alias("bigram"))
+    pairs = pairs.select("doc_id", "text_key", "part", "n", "at", F.xxhash64(F.element_at("words", F.col("at")), F.element_at("words", F.col("at") + 1)).alias("bigram"))
     met = pairs.join(F.broadcast(table), "bigram").filter(F.col("n").between(F.col("least"), F.col("most")))
     key = ["doc_id", "text_key", "part", "n", "license", "template", "size"]
+    met = met.select(*key, "bigram", "times", "at").distinct()  # rows that repeat a document count once
     shared = met.groupBy(*key, "bigram", "times").agg(F.count(F.lit(1)).alias("seen")).groupBy(*key).agg(F.sum(F.least("seen", "times")).alias("both"))
     scored = shared.withColumn("dice", 2 * F.col("both") / (F.col("n") + F.col("size"))).filter(F.col("dice") >= threshold)
     best = scored.groupBy("doc_id", "text_key", "part").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("best"))
@@ -193,109 +203,118 @@ def anchors(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
     return out
 
 
-def line_runs(lines: list[list[str]], blank: list[bool], prepared, threshold: float) -> list[tuple]:
-    """(dice, first line, last line, licence) of the best runs of two lines or more, none overlapping another; ties go to fewer lines, then the first."""
-    full = [i for i, x in enumerate(lines) if x]
-    words = [w for i in full for w in lines[i]]
-    begins = [0]
-    for i in full:
-        begins.append(begins[-1] + len(lines[i]))
-    grams = list(zip(words, words[1:], strict=False))
-    places = defaultdict(list)
-    for at, g in enumerate(grams):
-        places[g].append(at)
-    found = []
-    for name, size, lo, hi, times, chosen in prepared:
-        at_anchor = sorted(p for g in chosen for p in places.get(g, ()))
-        nearest = 0
-        for k in range(len(full)):
-            start = begins[k]
-            while nearest < len(at_anchor) and at_anchor[nearest] < start:
-                nearest += 1
-            if nearest == len(at_anchor):
-                break
-            if at_anchor[nearest] >= start + hi:
-                continue
-            seen, both, at = Counter(), 0, start
-            for e in range(k, len(full)):
-                n = begins[e + 1] - 1 - start
-                if n > hi:
-                    break
-                while at < start + n:
-                    g = grams[at]
-                    if seen[g] < times.get(g, 0):
-                        seen[g] += 1
-                        both += 1
-                    at += 1
-                if e > k and n >= lo and (dice := 2 * both / (n + size)) >= threshold:
-                    found.append((-dice, e - k, k, e, name))
-    if not found:
-        return []
-
-    def matched(first: int, last: int) -> list[tuple]:
-        """(first, last, dice, licence) of the part of these lines, if it matches."""
-        of = Counter(grams[begins[first] : begins[last + 1] - 1])
-        n, top = begins[last + 1] - 1 - begins[first], (1.0, "")
-        for name, size, lo, hi, times, _ in prepared:
-            if lo <= n <= hi:
-                top = min(top, (-2 * sum(min(c, times.get(g, 0)) for g, c in of.items()) / (n + size), name))
-        return [(first, last, -top[0], top[1])] if -top[0] >= threshold else []
-
-    paragraph = [0]
-    for i in range(1, len(lines)):
-        paragraph.append(paragraph[-1] + blank[i])
-    bounds_of = {}
-    for k, i in enumerate(full):
-        bounds_of.setdefault(paragraph[i], [k, k])[1] = k
-    others = {(0, len(full) - 1), *map(tuple, bounds_of.values()), *((k, k) for x in found for k in range(x[2], x[3] + 1))}
-    known = [m for first, last in others for m in matched(first, last)]
-    best, taken = [], [False] * len(full)
-    for minus, _, k, e, name in sorted(found):
-        meeting = [(d >= -minus, n == name, f <= k and e <= z) for f, z, d, n in known if f <= e and k <= z]
-        if any((same or holds) and as_good or same and holds for as_good, same, holds in meeting) or any(taken[k : e + 1]):
-            continue
-        taken[k : e + 1] = [True] * (e + 1 - k)
-        best.append((-minus, full[k], full[e], name))
-    return best
-
-
-def runs(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text_key, part, license, dice): the best runs of consecutive lines that reach the threshold and that no other part makes needless."""
-    held, prepared = anchors(templates, threshold), []
-    for (name, body), chosen in zip(templates, held, strict=True):
-        words = template_words(body)
-        prepared.append((name, len(words) - 1, *bounds(len(words) - 1, threshold), dict(Counter(zip(words, words[1:], strict=False))), tuple(chosen)))
-    wanted = sorted({w for chosen in held for w in chosen.values()})
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    has = F.exists(F.split(F.lower(text), _NOT_WORD), lambda w: w.isin(wanted))
-    rows = docs.filter(F.contains(text, F.lit("\n")) & has).select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.transform(lines, _line_words).alias("lines"), F.transform(lines, lambda x: x.rlike(r"^[ \t]*$")).alias("blank")
-    )
+_DOC = ("doc_id", "text_key")
 
-    def run(batches):
-        for batch in batches:
-            at, part, name, dice = [], [], [], []
-            for i, (lines, blank) in enumerate(zip(batch.column("lines"), batch.column("blank"), strict=True)):
-                for d, first, last, n in line_runs(lines.as_py(), blank.as_py(), prepared, threshold):
-                    at.append(i)
-                    part.append(f"lines{first}-{last}")
-                    name.append(n)
-                    dice.append(d)
-            ids, keys = (batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "text_key"))
-            columns = [ids, keys, pa.array(part, pa.string()), pa.array(name, pa.string()), pa.array(dice, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "part", "license", "dice"])
 
-    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return mapped(rows, run, f"doc_id {id_type}, text_key long, part string, license string, dice double")
+def _numbered_lines(docs: DataFrame, anchor_words: list[str], text_col: str, id_col: str) -> DataFrame:
+    """The lines with words of texts that hold an anchor's word: line, paragraph, k (its number among them), words, begin (words before it)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    has = F.exists(F.split(F.lower(text), _NOT_WORD), lambda w: w.isin(anchor_words))
+    rows = docs.filter(F.contains(text, F.lit("\n")) & has).select(F.col(id_col).alias("doc_id"), _text_key(text).alias("text_key"), F.split(text, "\n", -1).alias("lines"))
+    said = F.transform(
+        "lines",
+        lambda x, i: F.struct(_line_words(x).alias("words"), x.rlike(r"^\s*$").alias("space"), (x.rlike(r"^[ \t]*$") & (i > 0) & (i < F.size("lines") - 1)).alias("blank")),
+    )
+    lines = rows.select(*_DOC, F.posexplode(said).alias("line", "x")).select(*_DOC, "line", "x.*").filter((F.size("words") > 0) | F.col("blank") | ~F.col("space")).dropDuplicates([*_DOC, "line"])
+    # A blank line parts paragraphs unless only space lies between it and one before it that does.
+    before = W.partitionBy(*_DOC).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    full, last_blank = F.max(F.when(~F.col("space"), F.col("line"))).over(before), F.max(F.when(F.col("blank"), F.col("line"))).over(before)
+    parting = F.col("blank") & (last_blank.isNull() | F.coalesce(last_blank < full, F.lit(False)))
+    lines = lines.withColumn("parting", parting.cast("int"))
+    lines = lines.withColumn("paragraph", F.sum("parting").over(before.rowsBetween(W.unboundedPreceding, W.currentRow))).filter(F.size("words") > 0)
+    return lines.select(*_DOC, "line", "paragraph", F.row_number().over(W.partitionBy(*_DOC).orderBy("line")).alias("k"), "words", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).alias("begin"))
+
+
+def runs(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text_key, part, license, dice): runs of two lines or more that reach the threshold and say more than the matching parts ``found``.
+
+    Words are numbered through a text's lines, and a bigram is known by the place of its first word. For a run that begins at line s,
+    a bigram counts unless as many as the template has of it lie between s and it already. A best run begins and
+    ends at lines with bigrams of the template, so only such lines are tried, and their words lie within the
+    greatest size: pairs are found in cells of that many words.
+    """
+    table = _bigram_table(docs.sparkSession, templates, threshold)
+    anchor_words = sorted({w for chosen in anchors(templates, threshold) for w in chosen.values()})
+    lines = _numbered_lines(docs, anchor_words, text_col, id_col)
+    following = W.partitionBy(*_DOC).orderBy("k")
+    after = [F.lead(c).over(following).alias(f"{c}_after") for c in ("words", "line", "paragraph")]
+    lines = lines.select("*", *after)
+    ends = F.col("begin") + F.size("words")
+    more = F.coalesce(F.slice("words_after", 1, 1), F.array().cast("array<string>"))
+    row = F.concat("words", more)
+    grams = F.transform(F.slice(row, 1, F.size(row) - 1), lambda w, j: F.struct(F.xxhash64(w, F.get(row, j + 1)).alias("bigram"), (F.col("begin") + j).alias("at"), (j == F.size("words") - 1).alias("crosses")))
+    own, last = F.struct("k", "line", "paragraph", ends.alias("end")), F.struct((F.col("k") + 1).alias("k"), F.col("line_after").alias("line"), F.col("paragraph_after").alias("paragraph"), (ends + F.size("words_after")).alias("end"))
+    placed = lines.select(*_DOC, F.struct("k", "line", "paragraph", "begin").alias("first"), own.alias("own"), last.alias("next"), F.inline(grams))
+    hits = placed.join(F.broadcast(table), "bigram").withColumn("last", F.when(F.col("crosses"), F.col("next")).otherwise(F.col("own"))).drop("own", "next", "crosses")
+    hits = written(hits)
+    key = [*_DOC, "template"]
+    held = hits.groupBy(*key, "size", "bigram", "times").agg(F.count(F.lit(1)).alias("seen")).groupBy(*key, "size").agg(F.sum(F.least("seen", "times")).alias("both"))
+    enough = written(held.filter(F.col("both") >= F.col("size") * threshold / (2 - threshold) - 1e-9).select(*key))
+    hits = hits.join(enough, key)
+    # The place of the bigram that is one too many before this one, if any.
+    in_order = W.partitionBy(*key, "bigram").orderBy("at")
+    spent = F.coalesce(*[F.when(F.col("times") == n, F.lag("at", n).over(in_order)) for n in sorted({r[7] for r in template_rows(templates, threshold)})])
+    hits = written(hits.withColumn("spent", spent).withColumn("cell", F.floor(F.col("at") / (F.col("most") + 1))))
+    cells = F.floor(F.col("first.begin") / (F.col("most") + 1))
+    starts = hits.select(*key, "first", "most").distinct().select(*key, F.col("first").alias("from"), F.explode(F.array(cells, cells + 1)).alias("cell"))
+    met = starts.join(hits.drop("first"), [*key, "cell"]).filter((F.col("at") >= F.col("from.begin")) & (F.col("spent").isNull() | (F.col("spent") < F.col("from.begin"))))
+    met = met.filter(F.col("last.end") - F.col("from.begin") - 1 <= F.col("most"))
+    ended = met.groupBy(*key, "license", "size", "least", "from", "last").agg(F.count(F.lit(1)).alias("own"))
+    both = F.sum("own").over(W.partitionBy(*key, "from").orderBy("last.k"))
+    ended = ended.withColumn("both", both).withColumn("n", F.col("last.end") - F.col("from.begin") - 1)
+    scored = ended.withColumn("dice", 2 * F.col("both") / (F.col("n") + F.col("size"))).filter((F.col("dice") >= threshold) & (F.col("n") >= F.col("least")) & (F.col("last.k") > F.col("from.k")))
+    rank = F.struct((-F.col("dice")).alias("minus"), (F.col("last.k") - F.col("from.k")).alias("more"), F.col("from.k").alias("k"), "license")
+    best = scored.groupBy(*_DOC, F.col("from.k").alias("k")).agg(F.min(F.struct(rank.alias("rank"), "from", "last")).alias("best"))
+    best = written(best.select(*_DOC, "k", "best.*"))
+    return _telling(best, found)
+
+
+def _telling(best: DataFrame, found: DataFrame) -> DataFrame:
+    """The runs that no better run and no part makes needless."""
+    run = [*_DOC, "k"]
+    covered = best.select(*run, "rank", F.explode(F.sequence(F.col("from.k"), F.col("last.k"))).alias("covers"))
+    leaders = covered.groupBy(*_DOC, "covers").agg(F.min("rank").alias("leader"))
+    beaten = covered.join(leaders, [*_DOC, "covers"]).filter(F.col("leader") < F.col("rank")).select(*run).distinct()
+    best = written(best.join(beaten, run, "left_anti"))
+    names = F.concat(
+        F.array(F.lit("text0")),
+        F.transform(F.sequence(F.col("from.line"), F.col("last.line")), lambda i: F.concat(F.lit("line"), i.cast("string"))),
+        F.transform(F.sequence(F.col("from.paragraph"), F.col("last.paragraph")), lambda i: F.concat(F.lit("paragraph"), i.cast("string"))),
+    )
+    holds = F.col("part").startswith("text") | F.col("part").startswith("paragraph") & (F.col("from.paragraph") == F.col("last.paragraph"))
+    meeting = best.withColumn("part", F.explode(names)).join(found.select(*_DOC, "part", F.col("license").alias("said"), F.col("dice").alias("as_good")), [*_DOC, "part"])
+    same, as_good = F.col("said") == F.col("rank.license"), F.col("as_good") >= -F.col("rank.minus")
+    needless = meeting.filter((same | holds) & as_good | same & holds).select(*run).distinct()
+    part = F.concat(F.lit("lines"), F.col("from.line").cast("string"), F.lit("-"), F.col("last.line").cast("string"))
+    return best.join(needless, run, "left_anti").select(*_DOC, part.alias("part"), F.col("rank.license").alias("license"), (-F.col("rank.minus")).alias("dice"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with licenses: (license, part, dice) of every matching part, by part; empty if there is none."""
     docs = without(docs, "licenses")
-    found = matches(docs, threshold, templates, text_col, id_col).unionByName(runs(docs, threshold, templates, text_col, id_col))
-    found = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("part", "license", "dice"))).alias("licenses"))
-    found = found.select(F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_key"), "licenses")
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_of_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_of_key")), "left")
+    with scratch(docs.sparkSession) as keep:
+        parts_found = written(matches(docs, threshold, templates, text_col, id_col))
+        found = parts_found.unionByName(runs(docs, parts_found, threshold, templates, text_col, id_col))
+        found = found.groupBy(*_DOC).agg(F.sort_array(F.collect_set(F.struct("part", "license", "dice"))).alias("licenses"))
+        found = keep(found.select(F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_key"), "licenses"))
+    # The text's key is a column of its own, so that the text does not go through the join unless it is asked for.
+    keyed = docs.select("*", _text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_key"))
+    joined = keyed.join(broadcast_if_small(found, 64 * F.size("licenses")), F.col(id_col).eqNullSafe(F.col("_of_id")) & (F.col("_text_key") == F.col("_of_key")), "left")
     none = F.array().cast("array<struct<part:string,license:string,dice:double>>")
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("licenses", none).alias("licenses"))
+    return joined.select(*[keyed[c] for c in docs.columns], F.coalesce("licenses", none).alias("licenses"))
+
+
+def read_templates(spark: SparkSession, folder: str, least_words: int = 8) -> tuple[tuple[str, str], ...]:
+    """Templates from a folder of licence texts, named by licence: each whole text, and its paragraphs of ``least_words`` words or more.
+
+    The texts are brought to the driver and their bigrams broadcast, so the folder may hold 16 MB at most.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    if (files.agg(F.sum("length")).first()[0] or 0) > 16 << 20:
+        raise ValueError("licence templates of more than 16 MB")
+    out = []
+    for r in files.select("path", F.decode("content", "utf-8").alias("text")).orderBy("path").collect():
+        name = re.sub(r"\.(txt|md)$", "", r.path.rpartition("/")[2])
+        parts_ = [r.text, *(p for p in re.split(_BLANK, r.text) if len(template_words(p)) >= least_words)]
+        out += [(name, p) for p in dict.fromkeys(parts_) if len(template_words(p)) > 1]
+    return tuple(out)

@@ -160,8 +160,8 @@ def test_pii_awkward(docs, spark):
 # ---- 2 -------------------------------------------------------------------------------------------------------
 
 
-def license_matches(t):
-    templates = [(n, licenses.template_words(x)) for n, x in licenses.TEMPLATES]
+def license_matches(t, templates=licenses.TEMPLATES):
+    templates = [(n, licenses.template_words(x)) for n, x in templates]
     line_words = lambda x: [] if re.match(r"(?i)^[\W_]*copyright\b", x) else licenses.template_words(x)
     parts, lines, paragraphs = {}, t.split("\n"), re.split(r"\n[ \t]*\n\s*", t)
     parts["text0"] = [w for x in lines for w in line_words(x)]
@@ -213,6 +213,91 @@ def test_license_runs(spark):
     assert got[4] == [] and [x[:2] for x in got[5]] == [("text0", "MIT")]
 
 
+def brute_runs(t, templates):
+    """Every run of lines against every template; the best that begins at a line, unless a better one or a part makes it needless."""
+    raw, parts, sizes = t.split("\n"), [], [(n, licenses.template_words(x)) for n, x in templates]
+    words = [[] if re.match(r"(?i)^[\W_]*copyright\b", x) else licenses.template_words(x) for x in raw]
+    paragraph, at = [], 0
+    separators = [m.start() for m in re.finditer(r"\n[ \t]*\n\s*", t)]
+    for x in raw:
+        paragraph.append(sum(begin < at for begin in separators))
+        at += len(x) + 1
+    full = [i for i, w in enumerate(words) if w]
+    best = []
+    for k in range(len(full)):
+        tried = []
+        for e in range(k + 1, len(full)):
+            w = [x for i in full[k : e + 1] for x in words[i]]
+            own = Counter(zip(w, w[1:]))
+            begins = set(list(zip(w, w[1:]))[: len(words[full[k]])])
+            for name, tw in sizes:
+                if not begins & set(zip(tw, tw[1:])):
+                    continue  # it begins with a line that has nothing of the template
+                both = sum((own & Counter(zip(tw, tw[1:]))).values())
+                dice = 2 * both / (len(w) - 1 + len(tw) - 1)
+                if dice >= licenses.THRESHOLD:
+                    tried.append((-dice, e - k, k, name))
+        if tried:
+            best.append(min(tried))
+    best = [x for x in best if not any(y < x and y[2] <= x[2] + x[1] and x[2] <= y[2] + y[1] for y in best)]
+    out = []
+    for minus, more, k, name in best:
+        a, b = full[k], full[k + more]
+        needless = False
+        for part, said, dice in license_matches(t, templates):
+            kind, no = re.match(r"([a-z]+)(\d+)", part).groups()
+            meets = kind == "text" or (a <= int(no) <= b if kind == "line" else paragraph[a] <= int(no) <= paragraph[b])
+            holds = kind == "text" or kind == "paragraph" and paragraph[a] == paragraph[b] == int(no)
+            good, same = dice >= round(-minus, 6), said == name
+            needless |= meets and ((same or holds) and good or same and holds)
+        if not needless:
+            out.append((f"lines{a}-{b}", name, round(-minus, 6)))
+    return out
+
+
+def test_license_runs_like_brute_force(spark):
+    rng = random.Random(12)
+    templates = (
+        ("A", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"),
+        ("B", "go on go on go on and stop go on then stop and go"),
+        ("C", "alpha beta gamma delta epsilon zeta and then something else entirely ends"),
+        ("D", "nu xi omicron pi rho sigma tau upsilon phi chi psi omega alpha beta gamma delta epsilon zeta eta theta iota kappa"),
+    )
+    rows = []
+    for i in range(160):
+        text = ""
+        for _ in range(rng.randrange(1, 6)):
+            body = list(rng.choice(templates)[1].split()) if rng.random() < 0.8 else ["noise", "words", "here"] * rng.randrange(1, 6)
+            for _ in range(rng.randrange(0, 3)):
+                body[rng.randrange(len(body))] = rng.choice(["odd", "go", "on", "alpha", "beta"])
+            text += "".join(w + rng.choice([" ", " ", " ", "\n", "\n// ", "\n\n", "\n \n\t", "\n***\n", "\nCopyright 2020 x\n", "\n\x0b\n"]) for w in body)
+            text += rng.choice(["", "\n", "\n\n", "tail "])
+        rows.append((i, text))
+    df = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in licenses.scan(df, templates=templates).collect():
+        got[r.doc_id].append(sorted((x.part, x.license, round(x.dice, 6)) for x in r.licenses))
+    found = 0
+    for i, t in rows:
+        want = brute_runs(t, templates)
+        found += len(want)
+        for x in got[i]:
+            assert x == sorted(license_matches(t, templates) + want), t
+    assert found > 40 and all(len(got[i]) == 2 for i in range(20))
+
+
+def test_license_folder(spark, tmp_path):
+    body = "First part of a licence text that is long enough.\n\nSecond part of the licence, which is also long enough to be one."
+    (tmp_path / "Own-1.0.txt").write_text(body)
+    templates = licenses.read_templates(spark, str(tmp_path))
+    assert [n for n, _ in templates] == ["Own-1.0"] * 3
+    df = spark.createDataFrame([(1, "some words before\n\n" + body.split("\n\n")[1] + "\n\nand after"), (2, body)], "doc_id long, text string")
+    assert {r.doc_id: {(x.license, x.part) for x in r.licenses} for r in licenses.scan(df, templates=templates).collect()} == {
+        1: {("Own-1.0", "paragraph1"), ("Own-1.0", "line2")},
+        2: {("Own-1.0", "text0"), ("Own-1.0", "paragraph0"), ("Own-1.0", "paragraph1"), ("Own-1.0", "line0"), ("Own-1.0", "line2")},
+    }
+
+
 def test_license_bounds():
     for size in range(2, 60):
         lo, hi = licenses.bounds(size, 0.85)
