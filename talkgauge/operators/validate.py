@@ -1,9 +1,9 @@
 """Checks on a manifest of conversations: one relation of issues, by rules on rows and rules on sets.
 
-A task checks each line for itself (shape, record rules, tools and their arguments) and takes it to pieces: its
-tags, texts, redaction claims, audio claim and split. The other rules are joins and windows over those pieces:
-languages against the packs, redacted texts scanned again, files against claims, ids against each other and
-against the splits. A line whose shape is wrong has no other issues.
+A line's shape is walked in its task; what the walk leaves is a typed record, on which rules are columns. Records
+without an issue of their own are taken to pieces: tags, texts, claims about files, and splits. The other rules are joins
+and windows over those pieces: languages against the packs, redacted texts scanned again, files (read by
+Spark, from wherever the manifest lies) against claims, ids against each other and against the splits.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ import os
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkgauge.functions.packs import get_pack, list_packs
 from talkgauge.functions.text import find_pii
-from talkgauge.operators.records import CONVERSATION, REDACTION_LOG, SLACK_SECONDS, SPLIT, argument_problems, check, schema_problems
+from talkgauge.operators import rules
+from talkgauge.operators.records import CONVERSATION, REDACTION_LOG, SPLIT, argument_problems, check, schema_problems
 from talkgauge.sources.audio import read_wave
 
 ISSUE = ("conv_id", "field", "message", "fix", "line")
@@ -39,7 +40,9 @@ FIX = {
     "format": "see the data format",
 }
 
-_PIECES = "line long, id string, what string, place int, name string, value string, number double"
+_PROBLEMS = "array<struct<place:long,field:string,message:string>>"
+#: Places of a line's issues: the record's fields in order, then the elements of a list.
+_FIELD_PLACES, _ITEM_PLACES = 1 << 40, 1 << 12
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -60,77 +63,132 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.withColumn("value", F.when(F.col("line") == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
 
 
-def redactable(conv: dict) -> list[tuple[str, str]]:
-    """Every text of a record that a claim of redaction covers, as it is written in JSON."""
-    out = [("system_prompt", conv["system_prompt"])] if conv["system_prompt"] else []
-    for i, t in enumerate(conv["turns"]):
-        if t["text"]:
-            out.append((f"turns[{i}].text", t["text"]))
-        if t["tool_call"]:
-            out.append((f"turns[{i}].tool_call.arguments", json.dumps(t["tool_call"]["arguments"], ensure_ascii=False)))
-        if t["tool_result"]:
-            out.append((f"turns[{i}].tool_result.content", json.dumps(t["tool_result"]["content"], ensure_ascii=False)))
-    return out
+def _place(where: str) -> int:
+    """Where a field comes in the walk over a record."""
+    first, _, rest = where.partition(".")
+    names = list(CONVERSATION.fields)
+    item = rest.partition(".")[0]
+    return (names.index(first) if first in names else len(names)) * _FIELD_PLACES + (int(item) + 1 if item.isdigit() else 0) * _ITEM_PLACES
 
 
-def _pieces(line: int, raw: str, allow_unconsented: bool):
-    """Rows of _PIECES for one line. An issue's name is rule|field|fix and its value the message."""
-    issue = lambda cid, rule, field, message, fix="", at=0: (line, cid, f"issue {rule}", at, f"{field}|{fix}", message, None)
+def plain_record(conv: dict) -> dict:
+    """The parts of a walked record that rules look at; free-form values as JSON; wrong parts are None."""
+    as_json = lambda x: json.dumps(x, ensure_ascii=False)
+
+    def turn(t: dict | None) -> dict | None:
+        if t is None:
+            return None
+        call, result = t["tool_call"], t["tool_result"]
+        return {k: t[k] for k in ("speaker", "start", "end", "text", "lang", "lang_mix", "overlap")} | {
+            "entities": [{k: e[k] for k in ("text", "start_char", "end_char")} for e in t["entities"]],
+            "call": call and {"id": call["id"], "name": call["name"], "arguments": as_json(call["arguments"])},
+            "result": result and {"id": result["id"], "content": as_json(result["content"])},
+        }
+
+    return {
+        **{k: conv[k] for k in ("id", "locale", "system_prompt", "audio")},
+        "tools": conv["tools"] and [x and {"name": x["name"], "parameters": as_json(x["parameters"])} for x in conv["tools"]],
+        "turns": conv["turns"] and [turn(t) for t in conv["turns"]],
+        "meta": conv["meta"] and {k: v for k, v in conv["meta"].items() if k not in ("created", "transcription", "diarization")},
+    }
+
+
+def _walked(raw: str) -> tuple:
+    """(id, rule, problems, record) of one line."""
     try:
         data = json.loads(raw)
     except json.JSONDecodeError as e:
-        yield issue("<unparsed>", "json", "json", str(e), FIX["json"])
-        return
+        return "<unparsed>", "json", [(0, "json", str(e))], None
     problems: list = []
-    conv = check(CONVERSATION, data, "", problems)
-    if conv is None:
-        cid = str(data.get("id", "<no id>")) if isinstance(data, dict) else "<no id>"
-        for at, (where, message) in enumerate(problems):
-            yield issue(cid, "shape", where or "<record>", message, at=at)
-        return
-    cid = conv["id"]
-    yield line, cid, "record", 0, conv["locale"], conv["meta"]["split"], None
-    for i, t in enumerate(conv["turns"]):
-        tags = [("lang", t["lang"])] * bool(t["lang"]) + [("lang_mix", x) for x in t["lang_mix"]]
-        for k, (field, tag) in enumerate(tags):
-            yield line, cid, "tag", i * 1000 + k, f"turns[{i}].{field}", tag, None
-    schemas, at = {}, 0
-    for i, tool in enumerate(conv["tools"]):
-        found = list(schema_problems(tool["parameters"]))
-        if found:
-            yield issue(cid, "tools", f"tools[{i}].parameters", f"invalid JSON Schema: {found[0]}", FIX["schema"], at)
-            at += 1
-        else:
-            schemas[tool["name"]] = tool["parameters"]
-    for i, t in enumerate(conv["turns"]):
-        if t["tool_call"] and t["tool_call"]["name"] in schemas:
-            for message in argument_problems(schemas[t["tool_call"]["name"]], t["tool_call"]["arguments"]):
-                yield issue(cid, "tools", f"turns[{i}].tool_call.arguments", message, FIX["arguments"], at)
-                at += 1
-    if conv["meta"]["consent"] == "none" and not allow_unconsented:
-        yield issue(cid, "consent", "meta.consent", "consent is 'none'", FIX["consent"])
-    if audio := conv["audio"]:
-        for k in ("sample_rate", "channels", "duration_s"):
-            yield line, cid, "audio", 0, k, audio["path"], float(audio[k])
-    if conv["meta"]["pii_redacted"]:
-        for k, (field, value) in enumerate(redactable(conv)):
-            yield line, cid, "text", k, field, value, None
-        if conv["meta"]["redaction_log"]:
-            whole = {"turns": len(conv["turns"]), "fields": dict(redactable(conv)), "duration": audio["duration_s"] if audio else None}
-            yield line, cid, "log", 0, conv["meta"]["redaction_log"], json.dumps(whole, ensure_ascii=False), None
-
-
-def pieces(spark: SparkSession, manifest: str, allow_unconsented: bool = False) -> DataFrame:
-    names = [x.split()[0] for x in _PIECES.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64()]
+    conv = check(CONVERSATION, data, "", problems, partial=True)
+    known = str(data.get("id", "<no id>")) if isinstance(data, dict) else "<no id>"
+    found = [(_place(where) + at, where or "<record>", message) for at, (where, message) in enumerate(problems)]
+    return known, "shape", found, conv and json.dumps(plain_record(conv), ensure_ascii=False)
+
+
+def records_of(lines: DataFrame) -> DataFrame:
+    """(line, id, rule, problems, c) of numbered lines (line, value) that are not blank: c is the typed record, problems are its own.
+
+    A record with problems is no record for the rules over sets; rules across its turns are tried only if there is no other problem.
+    """
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("place", pa.int64()), ("field", pa.string()), ("message", pa.string())])), pa.string()]
 
     def run(batches):
         for b in batches:
-            rows = [p for line, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if raw.strip() for p in _pieces(line, raw, allow_unconsented)]
+            rows = [(line, *_walked(raw)) for line, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if raw and raw.strip()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                named = [(*r[:3], [dict(zip(("place", "field", "message"), p, strict=True)) for p in r[3]], r[4]) for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*named, strict=True), kinds, strict=True)], names=["line", "id", "rule", "problems", "record"])
+
+    walked = lines.select("line", "value").mapInArrow(run, f"line long, id string, rule string, problems {_PROBLEMS}, record string")
+    walked = walked.withColumn("c", F.from_json("record", rules.RECORD)).drop("record")
+    place = lambda name: list(CONVERSATION.fields).index(name) * _FIELD_PLACES
+
+    def problem(at: Column, field: Column, message: Column) -> Column:
+        return F.struct(at.cast("long").alias("place"), field.alias("field"), message.alias("message"))
 
-    return numbered_lines(spark, manifest).mapInArrow(run, _PIECES)
+    def turn(t: Column, i: Column) -> Column:
+        return problem(F.lit(place("turns")) + (i + 1) * _ITEM_PLACES, F.concat(F.lit("turns."), i.cast("string")), rules.turn_rules(t))
+
+    parts = [
+        F.array(problem(F.lit(place("audio")), F.lit("audio"), rules.audio_rules(F.col("c.audio")))),
+        F.coalesce(F.transform("c.turns", turn), F.array().cast(_PROBLEMS)),
+        F.array(problem(F.lit(place("meta")), F.lit("meta"), rules.provenance_rules(F.col("c.meta")))),
+    ]
+    own = walked.withColumn("problems", F.array_sort(F.concat("problems", F.filter(F.concat(*parts), lambda x: x["message"].isNotNull()))))
+    across = F.when(F.size("problems") == 0, rules.record_rules(F.col("c.turns"), F.col("c.tools"), F.col("c.audio")))
+    last = F.when(across.isNotNull(), F.array(problem(F.lit(0), F.lit("<record>"), across))).otherwise(F.array().cast(_PROBLEMS))
+    return own.withColumn("problems", F.concat("problems", last))
+
+
+def tags_of(sound: DataFrame) -> DataFrame:
+    """(line, id, place, name, value): the language tags of sound records."""
+    each = sound.select("line", "id", F.posexplode("c.turns").alias("i", "t"))
+    first = F.when(F.coalesce(F.col("t.lang"), F.lit("")) != "", F.array(F.struct(F.lit("lang").alias("field"), F.col("t.lang").alias("value")))).otherwise(F.array().cast("array<struct<field:string,value:string>>"))
+    mixed = F.transform("t.lang_mix", lambda x: F.struct(F.lit("lang_mix").alias("field"), x.alias("value")))
+    tags = each.select("line", "id", "i", F.posexplode(F.concat(first, mixed)).alias("k", "tag"))
+    return tags.select("line", "id", (F.col("i") * 1000 + F.col("k")).alias("place"), F.format_string("turns[%d].%s", "i", "tag.field").alias("name"), F.col("tag.value").alias("value"))
+
+
+def redactable(c: Column) -> Column:
+    """Every text of a record that a claim of redaction covers, as it is written in JSON: (name, value), in order."""
+    pair = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    of_turn = lambda t, i: F.array(
+        pair(F.format_string("turns[%d].text", i), t["text"]),
+        pair(F.format_string("turns[%d].tool_call.arguments", i), t["call"]["arguments"]),
+        pair(F.format_string("turns[%d].tool_result.content", i), t["result"]["content"]),
+    )
+    every = F.concat(F.array(pair(F.lit("system_prompt"), c["system_prompt"])), F.flatten(F.transform(c["turns"], of_turn)))
+    return F.filter(every, lambda x: F.coalesce(x["value"], F.lit("")) != "")
+
+
+def texts_of(sound: DataFrame) -> DataFrame:
+    """(line, id, place, name, value): the texts of sound records that are said to be redacted."""
+    said = sound.filter("c.meta.pii_redacted").select("line", "id", F.posexplode(redactable(F.col("c"))).alias("place", "x"))
+    return said.select("line", "id", "place", "x.name", "x.value")
+
+
+def tool_issues(sound: DataFrame) -> DataFrame:
+    """Tools whose parameters are no sound JSON Schema, and arguments that break a sound one."""
+
+    def judge(line, cid, tools, calls):
+        schemas, at = {}, 0
+        for i, tool in enumerate(tools):
+            parameters = json.loads(tool["parameters"])
+            found = list(schema_problems(parameters))
+            if found:
+                yield line, RULES.index("tools"), at, cid, f"tools[{i}].parameters", f"invalid JSON Schema: {found[0]}", FIX["schema"]
+                at += 1
+            else:
+                schemas[tool["name"]] = parameters
+        for call in calls:
+            if call["name"] in schemas:
+                for message in argument_problems(schemas[call["name"]], json.loads(call["arguments"])):
+                    yield line, RULES.index("tools"), at, cid, f"turns[{call['i']}].tool_call.arguments", message, FIX["arguments"]
+                    at += 1
+
+    calls = F.filter(F.transform("c.turns", lambda t, i: F.struct(i.alias("i"), t["call"]["name"].alias("name"), t["call"]["arguments"].alias("arguments"))), lambda x: x["name"].isNotNull())
+    return _by_row(sound.filter(F.size("c.tools") > 0).select("line", "id", F.col("c.tools").alias("tools"), calls.alias("calls")), judge)
 
 
 def _issues(rows: DataFrame, rule: str, field, message, fix, place) -> DataFrame:
@@ -172,42 +230,77 @@ def redaction_rescan(records: DataFrame, texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def inside(root: str, relative: str) -> str | None:
-    """The file that a manifest's path names, or None if it resolves (by links) outside the manifest's folder."""
-    path, top = os.path.realpath(os.path.join(root, relative)), os.path.realpath(root)
-    return os.path.join(root, relative) if path == top or path.startswith(top.rstrip("/") + "/") else None
+def leaving_links(spark: SparkSession, root: str) -> DataFrame:
+    """(link): links below a local folder that lead out of it. Stores that are no local folder have no links."""
+    top, found = os.path.realpath(root), []
+    for folder, folders, files in os.walk(root) if "://" not in root else ():
+        for name in (*folders, *files):
+            path = os.path.join(folder, name)
+            if os.path.islink(path) and not os.path.realpath(path).startswith(top.rstrip("/") + "/"):
+                found.append((os.path.relpath(path, root),))
+    return spark.createDataFrame(found, "link string")
+
+
+def claimed_files(claims: DataFrame, root: str) -> DataFrame:
+    """``claims`` (with path) with outside (by a link), and the length and content of the file below ``root``; null if there is none.
+
+    Only files with the endings that are claimed are read.
+    """
+    spark = claims.sparkSession
+    segments = F.filter(F.split("path", "/"), lambda x: ~x.isin("", "."))
+    claims = claims.withColumn("_at", F.array_join(segments, "/"))
+    links = F.broadcast(leaving_links(spark, root))
+    out = claims.join(links, (F.col("_at") == F.col("link")) | F.col("_at").startswith(F.concat("link", F.lit("/"))), "left_semi").select("_at").distinct().select(F.col("_at").alias("_out"))
+    endings = [r[0] for r in claims.select(F.regexp_extract("_at", r"[A-Za-z0-9]*$", 0)).distinct().limit(65).collect()]
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if 0 < len(endings) <= 64 and all(endings):
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(endings)) + "}")
+    files = reader.load(root).select(F.expr(f"substring(path, {len(base) + 2})").alias("_file"), "length", "content")
+    return claims.join(out, F.col("_at") == F.col("_out"), "left").join(files, F.col("_at") == F.col("_file"), "left").withColumn("outside", F.col("_out").isNotNull()).drop("_at", "_out", "_file")
+
+
+def _listed(rows: DataFrame, rule: str, issues: Column) -> DataFrame:
+    """The issues in an array of (place, field, message, fix) of every row (line, id); those without a message are none."""
+    found = rows.select("line", "id", F.explode(F.filter(issues, lambda x: x["message"].isNotNull())).alias("x"))
+    return _issues(found, rule, F.col("x.field"), F.col("x.message"), F.col("x.fix"), F.col("x.place"))
+
+
+def _one(place, field: str, message: Column, fix: str) -> Column:
+    place = F.lit(place) if isinstance(place, int) else place
+    return F.struct(place.cast("long").alias("place"), F.lit(field).alias("field"), message.alias("message"), F.lit(fix).alias("fix"))
 
 
 def audio_issues(claims: DataFrame, root: str) -> DataFrame:
-    """Recordings that are missing, don't decode, or aren't as claimed. Each file is read once, in the task of its records."""
-    by_file = claims.groupBy("line", "id", F.col("value").alias("path")).agg(*[F.max(F.when(F.col("name") == k, F.col("number"))).alias(k) for k in ("sample_rate", "channels", "duration_s")])
-
-    def judge(line, cid, path, rate, channels, duration):
-        def row(at, field, message, fix):
-            return line, RULES.index("audio"), at, cid, field, message, fix
-
-        file = inside(root, path)
-        if file is None:
-            yield row(0, "audio.path", "resolves outside the dataset directory", "keep the audio beside the manifest; a symlink that leaves the dataset is not part of it")
-            return
-        if not os.path.exists(file):
-            yield row(0, "audio.path", f"{file} does not exist", "fix the path")
-            return
-        try:
-            with open(file, "rb") as f:
-                own_rate, own_channels, frames, _ = read_wave(f.read(), seconds=0)
-        except (OSError, RuntimeError, ValueError) as e:
-            yield row(0, "audio.path", f"cannot decode: {e}", "re-encode as WAV")
-            return
-        seconds = frames / own_rate
-        if own_rate != rate:
-            yield row(0, "audio.sample_rate", f"declared {rate:.0f}, file is {own_rate}", "run `prepare` to resample or fix the declaration")
-        if own_channels != channels:
-            yield row(1, "audio.channels", f"declared {channels:.0f}, file has {own_channels}", "fix the declaration or channel_map")
-        if abs(seconds - duration) > SLACK_SECONDS:
-            yield row(2, "audio.duration_s", f"declared {duration}, file is {seconds:.2f}", "set duration_s from the file")
-
-    return _by_row(by_file, judge)
+    """Recordings that are missing, don't decode, or aren't as claimed. ``claims``: line, id, path, sample_rate, channels, duration_s."""
+
+    def decode(batches):
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows.append((path, *read_wave(content, seconds=0)[:3], None))
+                except (OSError, RuntimeError, ValueError) as e:
+                    rows.append((path, None, None, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_path", "_rate", "_channels", "_frames", "_error"])
+
+    files = claimed_files(claims.select("path").distinct(), root).persist()
+    facts = files.filter("content IS NOT NULL").select("path", "content").mapInArrow(decode, "_path string, _rate long, _channels long, _frames long, _error string")
+    known = files.select("path", "outside", F.col("length").isNotNull().alias("there")).join(facts, F.col("path") == F.col("_path"), "left").drop("_path")
+    rows = claims.join(known.withColumnRenamed("path", "_of"), F.col("path") == F.col("_of"))
+    there = F.col("there") & ~F.col("outside")
+    seconds = F.col("_frames") / F.col("_rate")
+    issues = F.array(
+        _one(0, "audio.path", F.when(F.col("outside"), "resolves outside the dataset directory"), "keep the audio beside the manifest; a symlink that leaves the dataset is not part of it"),
+        _one(0, "audio.path", F.when(~F.col("outside") & ~F.col("there"), F.concat(F.lit(root.rstrip("/") + "/"), "path", F.lit(" does not exist"))), "fix the path"),
+        _one(0, "audio.path", F.when(there, F.concat(F.lit("cannot decode: "), "_error")), "re-encode as WAV"),
+        _one(0, "audio.sample_rate", F.when(there & (F.col("_rate") != F.col("sample_rate")), F.format_string("declared %d, file is %d", "sample_rate", "_rate")), "run `prepare` to resample or fix the declaration"),
+        _one(1, "audio.channels", F.when(there & (F.col("_channels") != F.col("channels")), F.format_string("declared %d, file has %d", F.col("channels").cast("long"), "_channels")), "fix the declaration or channel_map"),
+        _one(2, "audio.duration_s", F.when(there & (F.abs(seconds - F.col("duration_s")) > rules.SLACK_SECONDS), F.format_string("declared %s, file is %.2f", F.col("duration_s").cast("string"), seconds)), "set duration_s from the file"),
+    )
+    return _listed(rows, "audio", issues)
 
 
 _ISSUE_ROWS = "line long, rule int, place long, conv_id string, field string, message string, fix string"
@@ -225,62 +318,73 @@ def _by_row(rows: DataFrame, judge) -> DataFrame:
     return rows.mapInArrow(run, _ISSUE_ROWS)
 
 
-def log_issues(logs: DataFrame, root: str) -> DataFrame:
-    """Redaction logs that are missing, malformed, another record's, or not borne out by the record's texts."""
-
-    def judge(line, cid, log_path, whole):
-        at = 0
-
-        def row(message, fix=""):
-            nonlocal at
-            at += 1
-            return line, RULES.index("log"), at, cid, "meta.redaction_log", message, fix
-
-        file, record = inside(root, log_path), json.loads(whole)
-        if file is None:
-            yield row("resolves outside the dataset directory", "keep the log beside the manifest; a path that leaves the dataset is not evidence about it")
-            return
-        if not os.path.exists(file):
-            yield row(f"{log_path} does not exist", "point at the real log")
-            return
-        problems: list = []
-        try:
-            with open(file, encoding="utf-8-sig") as f:
-                log = check(REDACTION_LOG, json.load(f), "", problems)
-        except (OSError, ValueError) as e:
-            kind = "malformed at <log>" if isinstance(e, json.JSONDecodeError) else "unreadable"
-            yield row(f"{kind}: {e}", FIX["format"])
-            return
-        if log is None:
-            yield row(f"malformed at {problems[0][0] or '<log>'}: {problems[0][1]}", FIX["format"])
-            return
-        if log["conversation_id"] != cid:
-            yield row(f"names conversation {log['conversation_id']!r}, not this one", "a log from another conversation is not evidence about this one")
-        for n, span in enumerate(log["spans"]):
-            turn = span["turn"]
-            if turn is not None and turn >= record["turns"]:
-                yield row(f"spans[{n}] points at turn {turn}, which does not exist")
-                continue
-            where = "system_prompt" if turn is None else f"turns[{turn}].{span['field']}"
-            if span["placeholder"] not in record["fields"].get(where, ""):
-                yield row(f"spans[{n}] claims placeholder {span['placeholder']!r} in {where}, which does not contain it", "write the log from the redaction that actually ran")
-            if span["audio"] is not None:
-                if record["duration"] is None:
-                    yield row(f"spans[{n}] redacts audio, but this record has none")
-                elif span["audio"]["end_s"] > record["duration"] + SLACK_SECONDS:
-                    yield row(f"spans[{n}] redacts audio up to {span['audio']['end_s']}s, past the end of the {record['duration']}s recording")
-
-    return _by_row(logs.select("line", "id", "name", "value"), judge)
-
-
-def splits_file(root: str) -> tuple[list[tuple], list[tuple]]:
-    """From splits.json: (order, id, split, position) rows, and issues with the file itself as (conv_id, field, message, fix)."""
-    path, field = os.path.join(root, "splits.json"), "splits.json"
-    own = lambda message, fix: ("<splits.json>", field, message, fix)
+def _walked_log(content: bytes | None) -> tuple[str | None, str | None]:
+    """(what is wrong, the log as JSON) of a redaction log's bytes."""
+    problems: list = []
     try:
-        with open(path, encoding="utf-8-sig") as f:
-            splits = json.load(f)
-    except (OSError, ValueError) as e:
+        log = check(REDACTION_LOG, json.loads(content.decode("utf-8-sig")), "", problems)
+    except json.JSONDecodeError as e:
+        return f"malformed at <log>: {e}", None
+    except ValueError as e:
+        return f"unreadable: {e}", None
+    if log is None:
+        return f"malformed at {problems[0][0] or '<log>'}: {problems[0][1]}", None
+    return None, json.dumps(log, ensure_ascii=False)
+
+
+def log_issues(claims: DataFrame, root: str) -> DataFrame:
+    """Redaction logs that are missing, malformed, another record's, or not borne out by the record. ``claims``: line, id, path, turns, fields, duration."""
+
+    def walk(batches):
+        for b in batches:
+            rows = [(path, *_walked_log(content)) for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["_path", "_wrong", "_log"])
+
+    files = claimed_files(claims.select("path").distinct(), root).persist()
+    logs = files.filter("content IS NOT NULL").select("path", "content").mapInArrow(walk, "_path string, _wrong string, _log string")
+    log = F.from_json("_log", rules.LOG)
+    bad = F.transform(log["spans"], lambda s, n: F.concat(F.lit("malformed at spans."), n.cast("string"), F.lit(": "), rules.span_rules(s)))
+    logs = logs.select("_path", F.coalesce("_wrong", rules.first_found(bad)).alias("_wrong"), log.alias("_log"))
+    known = files.select("path", "outside", F.col("length").isNotNull().alias("there")).join(logs, F.col("path") == F.col("_path"), "left").drop("_path")
+    rows = claims.join(known.withColumnRenamed("path", "_of"), F.col("path") == F.col("_of"))
+    field = "meta.redaction_log"
+    sound = F.col("there") & ~F.col("outside") & F.col("_wrong").isNull()
+    whole = F.array(
+        _one(0, field, F.when(F.col("outside"), "resolves outside the dataset directory"), "keep the log beside the manifest; a path that leaves the dataset is not evidence about it"),
+        _one(0, field, F.when(~F.col("outside") & ~F.col("there"), F.concat("path", F.lit(" does not exist"))), "point at the real log"),
+        _one(0, field, F.when(F.col("there") & ~F.col("outside"), F.col("_wrong")), FIX["format"]),
+        _one(
+            1, field, F.when(sound & (F.col("_log.conversation_id") != F.col("id")), F.format_string("names conversation '%s', not this one", "_log.conversation_id")),
+            "a log from another conversation is not evidence about this one",
+        ),
+    )
+    spans = rows.filter(sound).select("line", "id", "turns", "fields", "duration", F.posexplode("_log.spans").alias("n", "s"))
+    at, turn = F.col("n") * 4 + 4, F.col("s.turn")
+    where = F.when(turn.isNull(), "system_prompt").otherwise(F.concat(F.lit("turns["), turn.cast("string"), F.lit("]."), "s.field"))
+    held = F.coalesce(F.try_element_at("fields", where), F.lit(""))
+    real = turn.isNull() | (turn < F.col("turns"))
+    each = F.array(
+        _one(at, field, F.when(~real, F.format_string("spans[%d] points at turn %d, which does not exist", "n", turn)), ""),
+        _one(
+            at + 1, field, F.when(real & ~F.contains(held, F.col("s.placeholder")), F.format_string("spans[%d] claims placeholder '%s' in %s, which does not contain it", "n", "s.placeholder", where)),
+            "write the log from the redaction that actually ran",
+        ),
+        _one(at + 2, field, F.when(real & F.col("s.audio").isNotNull() & F.col("duration").isNull(), F.format_string("spans[%d] redacts audio, but this record has none", "n")), ""),
+        _one(
+            at + 3, field,
+            F.when(real & (F.col("s.audio.end_s") > F.col("duration") + rules.SLACK_SECONDS), F.format_string("spans[%d] redacts audio up to %ss, past the end of the %ss recording", "n", F.col("s.audio.end_s").cast("string"), F.col("duration").cast("string"))),
+            "",
+        ),
+    )
+    return _listed(rows, "log", whole).unionByName(_listed(spans, "log", each))
+
+
+def read_splits(content: bytes) -> tuple[list[tuple], list[tuple]]:
+    """From the bytes of splits.json: (order, id, split) rows, and issues with the file itself as (conv_id, field, message, fix)."""
+    own = lambda message, fix: ("<splits.json>", "splits.json", message, fix)
+    try:
+        splits = json.loads(content.decode("utf-8-sig"))
+    except ValueError as e:
         return [], [own(f"unreadable or invalid JSON: {e}", "fix the file")]
     if not isinstance(splits, dict):
         kind = {list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(splits), "number")
@@ -299,6 +403,25 @@ def splits_file(root: str) -> tuple[list[tuple], list[tuple]]:
     return rows, issues
 
 
+def splits_file(spark: SparkSession, root: str) -> DataFrame | None:
+    """Rows of splits.json: place with listed_id and split, or with conv_id, field, message and fix of an issue with the file. None: no file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/splits.json")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+
+    def run(batches):
+        kinds = [pa.int64(), *[pa.string()] * 6]
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                rows, issues = read_splits(content)
+                every = [(i - len(issues), None, None, *x) for i, x in enumerate(issues)] + [(*r, None, None, None, None) for r in rows]
+                if every:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*every, strict=True), kinds, strict=True)], names=["place", "listed_id", "split", "conv_id", "field", "message", "fix"])
+
+    content = spark.read.format("binaryFile").load(path.toString()).select("content")
+    return content.mapInArrow(run, "place long, listed_id string, split string, conv_id string, field string, message string, fix string")
+
+
 def split_issues(records: DataFrame, listed: DataFrame) -> DataFrame:
     """(place, conv_id, field, message, fix): the manifest's records against the splits' lists (place, listed_id, split), by a full outer join."""
     in_split = W.partitionBy("listed_id", "split").orderBy("place")
@@ -325,26 +448,44 @@ def split_issues(records: DataFrame, listed: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def issues_of(parsed: DataFrame, root: str, allow_unconsented: bool = False) -> DataFrame:
+    """(line, rule, place, conv_id, field, message, fix) of parsed records, without those of the splits."""
+    rule = F.create_map(*[x for i, r in enumerate(RULES) for x in (F.lit(r), F.lit(i))])
+    own = parsed.select("line", F.element_at(rule, F.col("rule")).alias("rule"), "id", F.inline("problems"))
+    fix = F.when(F.col("rule") == RULES.index("json"), FIX["json"]).otherwise("")
+    own = own.select("line", "rule", "place", F.col("id").alias("conv_id"), "field", "message", fix.alias("fix"))
+    sound = sound_of(parsed)
+    audio = sound.filter("c.audio IS NOT NULL").select("line", "id", "c.audio.path", "c.audio.sample_rate", "c.audio.channels", "c.audio.duration_s")
+    logged = sound.filter(F.col("c.meta.pii_redacted") & (F.coalesce("c.meta.redaction_log", F.lit("")) != ""))
+    fields = F.map_from_entries(F.transform(redactable(F.col("c")), lambda x: F.struct(x["name"], x["value"])))
+    logs = logged.select("line", "id", F.col("c.meta.redaction_log").alias("path"), F.size("c.turns").alias("turns"), fields.alias("fields"), F.col("c.audio.duration_s").alias("duration"))
+    records = heads_of(sound)
+    found = [own, duplicate_ids(records), locale_issues(records, tags_of(sound)), tool_issues(sound), audio_issues(audio, root), log_issues(logs, root), redaction_rescan(records, texts_of(sound))]
+    if not allow_unconsented:
+        found.append(_issues(sound.filter("c.meta.consent = 'none'"), "consent", "meta.consent", "consent is 'none'", FIX["consent"], F.lit(0)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def sound_of(parsed: DataFrame) -> DataFrame:
+    """The records without problems of their own."""
+    return parsed.filter((F.size("problems") == 0) & F.col("c").isNotNull())
+
+
+def heads_of(sound: DataFrame) -> DataFrame:
+    """(line, id, name, value): a record's locale and split."""
+    return sound.select("line", "id", F.col("c.locale").alias("name"), F.col("c.meta.split").alias("value"))
+
+
 def validate_manifest(spark: SparkSession, manifest: str, allow_unconsented: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records (line, id, locale, split), issues (conv_id, field, message, fix, line)), the issues in their order."""
     root = os.path.dirname(manifest) or "."
-    parts = pieces(spark, manifest, allow_unconsented).persist()
-    of = lambda what: parts.filter(F.col("what") == what)
-    records = of("record")
-    own = parts.filter(F.col("what").startswith("issue "))
-    rule = F.create_map(*[x for i, r in enumerate(RULES) for x in (F.lit(f"issue {r}"), F.lit(i))])
-    direct = own.select(
-        "line", F.element_at(rule, F.col("what")).alias("rule"), F.col("place").cast("long").alias("place"), F.col("id").alias("conv_id"),
-        F.element_at(F.split("name", r"\|"), 1).alias("field"), F.col("value").alias("message"), F.element_at(F.split("name", r"\|"), 2).alias("fix"),
-    )
-    found = [direct, duplicate_ids(records), locale_issues(records, of("tag")), audio_issues(of("audio"), root), log_issues(of("log"), root), redaction_rescan(records, of("text"))]
-    issues = reduce(DataFrame.unionByName, found).withColumn("last", F.lit(0))
-    if os.path.exists(os.path.join(root, "splits.json")):
-        rows, of_file = splits_file(root)
-        listed = spark.createDataFrame(rows, "place long, listed_id string, split string")
-        late = split_issues(records, listed)
-        if of_file:
-            late = late.unionByName(spark.createDataFrame([(i - len(of_file), *x) for i, x in enumerate(of_file)], "place long, conv_id string, field string, message string, fix string"))
+    parsed = records_of(numbered_lines(spark, manifest)).persist()
+    records = heads_of(sound_of(parsed))
+    issues = issues_of(parsed, root, allow_unconsented).withColumn("last", F.lit(0))
+    if (splits := splits_file(spark, root)) is not None:
+        splits = splits.persist()
+        late = split_issues(records, splits.filter("listed_id IS NOT NULL").select("place", "listed_id", "split"))
+        late = late.unionByName(splits.filter("conv_id IS NOT NULL").select("place", "conv_id", "field", "message", "fix"))
         late = late.select(F.lit(None).cast("long").alias("line"), F.lit(0).alias("rule"), "place", "conv_id", "field", "message", "fix", F.lit(1).alias("last"))
         issues = issues.unionByName(late)
     ordered = issues.orderBy("last", "line", "rule", "place").select(*ISSUE)
