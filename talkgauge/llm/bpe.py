@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from talkgauge.llm.common import mapped, without
 
 #: A worker forgets the pre-tokens it has seen beyond so many, or so many characters; they are then encoded again.
-CACHE_SIZE, CACHE_CHARS = 500_000, 16 << 20
+CACHE_SIZE, CACHE_CHARS = 200_000, 8 << 20
 #: Bytes of ids in one outgoing batch.
 BATCH_BYTES = 16 << 20
 

@@ -126,7 +126,27 @@ def positioned(df: DataFrame) -> DataFrame:
 ARROW_BATCH_BYTES = 4 << 20
 
 
+def _released() -> None:
+    """Gives back what a Python worker no longer uses: it stays for other tasks, beside those that run now."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of bounded bytes (a setting of the session)."""
+    """``df.mapInArrow`` with batches of bounded bytes (a setting of the session), and memory given back at the end."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _released()
+
+    return df.mapInArrow(tidy, schema)
