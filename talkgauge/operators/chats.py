@@ -17,8 +17,6 @@ from talkgauge.sources.files import STAMP
 STAMPED = to_java(STAMP, ignore_case=True)
 SPOKEN = to_java(STAMP + r"\s?[-–]?\s?(?P<speaker>[^:]{1,60}): ", ignore_case=True)
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
-#: How deep records are opened; deeper values stay closed.
-DEPTH = 8
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -56,19 +54,18 @@ def table_messages(rows: DataFrame, order: str) -> DataFrame | None:
 
 
 def json_cells(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, name, value) of every scalar in JSON records: nested names are joined by dots; no booleans, nulls or lists in lists."""
+    """(id, name, value) of every scalar in JSON records: nested names are joined by dots; no booleans, nulls or lists in lists.
+
+    Objects are opened level by level, to the deepest; what is still closed is kept, so that no level is parsed twice.
+    """
     level = records.select(F.col(id_col).alias("id"), F.lit("").alias("prefix"), F.try_parse_json(F.col(json_col)).alias("v")).filter("schema_of_variant(v) like 'OBJECT%'")
     out = None
-    for _ in range(DEPTH):
+    while out is None or not level.isEmpty():
         opened = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key"), F.col("value").alias("x")))
-        opened = opened.select("id", F.concat("prefix", "key").alias("name"), "x").withColumn("kind", F.schema_of_variant("x"))
-        plain = opened.filter("kind not like 'ARRAY%'")
-        listed = opened.filter("kind like 'ARRAY%'")
-        items = listed.select("id", "name", F.explode(F.col("x").cast("array<variant>")).alias("x")).withColumn("kind", F.schema_of_variant("x"))
-        both = plain.unionByName(items)
+        # A list's items stand for it, so that one explode opens both; lists in lists stay closed.
+        items = F.when(F.schema_of_variant("x").like("ARRAY%"), F.col("x").cast("array<variant>")).otherwise(F.array("x"))
+        both = opened.select("id", F.concat("prefix", "key").alias("name"), F.explode(items).alias("x")).withColumn("kind", F.schema_of_variant("x"))
         scalars = both.filter("kind in ('STRING', 'BIGINT', 'DOUBLE', 'FLOAT') or kind like 'DECIMAL%'").select("id", "name", F.col("x").cast("string").alias("value"))
         out = scalars if out is None else out.unionByName(scalars)
-        level = both.filter("kind like 'OBJECT%'").select("id", F.concat("name", F.lit(".")).alias("prefix"), F.col("x").alias("v"))
-        if level.isEmpty():
-            break
+        level = both.filter("kind like 'OBJECT%'").select("id", F.concat("name", F.lit(".")).alias("prefix"), F.col("x").alias("v")).persist()
     return out

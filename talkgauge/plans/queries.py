@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from talkgauge.functions import names, packs, text
 from talkgauge.functions.packs import get_pack
-from talkgauge.operators import chats, profile
+from talkgauge.operators import chats, profile, rules, validate
+from talkgauge.plans import golden
 from talkgauge.plans.recommend import BARS, decision_matrix
+from talkgauge.sources.files import TABLE_CHARS
 from talkgauge.streaming import rescan
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-BUDGET = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +36,13 @@ def words_by_lang(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(text.word_count(F.col("text"))).alias("words"), F.max("n_chars").alias("longest"))
 
 
+#: E-mail addresses alone: what SQL can say of the packs' patterns.
+MAIL = packs.Pack("mail", languages=("en",), patterns=(packs.EMAIL,))
+
+
 def doc_pii_email(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
-    n = F.size(F.regexp_extract_all("text", F.lit(packs.EMAIL.java), F.lit(0))).cast("long")
-    return docs.select("doc_id", "source", n.alias("emails")).filter("emails > 0")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", F.size(text.find_pii(F.col("text"), MAIL)).cast("long").alias("emails")).filter("emails > 0")
 
 
 def pii_by_source(spark, sf_dir):
@@ -88,24 +92,27 @@ def normalized_text_en(spark, sf_dir):
 
 def budget_prefix_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return profile.within_budget(docs, "source", "doc_id", F.col("n_chars"), BUDGET)
+    return profile.within_budget(docs, "source", "doc_id", F.col("n_chars"), TABLE_CHARS)
 
 
 def id_columns_tools(spark, sf_dir):
     """Identifier columns of every table, and the lookups that the first three of them offer."""
-    rows = [(t, i, c) for t in TABLES for i, c in enumerate(table(spark, sf_dir, t).columns)]
-    columns = spark.createDataFrame(rows, "table_name string, at int, column_name string").filter(names.id_column(F.col("column_name")))
-    rank = F.row_number().over(W.partitionBy("table_name").orderBy("at"))
-    tool = F.concat(F.lit("lookup_"), names.key_column(F.col("table_name")), F.lit("_by_"), names.key_column(F.col("column_name")))
-    return columns.select("table_name", "column_name", F.when(rank <= names.TOOLS_PER_TABLE, tool).alias("tool"))
+    rows = []
+    for t in TABLES:
+        ids, _, tools = names.tools(t, table(spark, sf_dir, t).columns)
+        rows += [(t, c, tools[i] if i < len(tools) else None) for i, c in enumerate(ids)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, tool string")
 
 
 def table_pii_by_column(spark, sf_dir):
-    """Customers' cells, unpivoted and scanned with their column's name as context."""
-    rows = table(spark, sf_dir, "customer")
-    cells = rows.select(F.lit("customer").alias("path"), F.col("c_custkey").alias("seq"), *[F.col(c).cast("string").alias(c) for c in rows.columns])
-    cells = cells.unpivot(["path", "seq"], rows.columns, "name", "value").filter("value is not null and value <> ''")
-    return profile.cell_pii(cells, get_pack("en-US")).select("name", "type", "n")
+    """Cells of customers and events, unpivoted and scanned with their column's name as context."""
+    out = None
+    for name, seq in (("customer", "c_custkey"), ("events", "event_id")):
+        rows = table(spark, sf_dir, name)
+        cells = rows.select(F.lit(name).alias("path"), F.col(seq).alias("seq"), *[F.col(c).cast("string").alias(c) for c in rows.columns])
+        cells = cells.unpivot(["path", "seq"], rows.columns, "name", "value").filter("value is not null and value <> ''")
+        out = cells if out is None else out.unionByName(cells)
+    return profile.cell_pii(out, get_pack("en-US")).select("path", "name", "type", "n")
 
 
 def json_cells(spark, sf_dir):
@@ -115,29 +122,31 @@ def json_cells(spark, sf_dir):
 
 
 def turn_order_check(spark, sf_dir):
-    """Turns that don't follow the one before: number gaps, and a speaker who goes on."""
-    order = W.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("turn").over(order).alias("last"), F.lag("role").over(order).alias("before"))
-    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("turn") - F.col("last") != 1).alias("gaps"), F.count_if(F.col("role") == F.col("before")).alias("same_speaker"))
+    """The first turn of each conversation that is out of order, by made-up times of its turns."""
+    start = ((F.col("turn") * 7 + F.col("conv_id")) % 5 + F.col("turn")).cast("double")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", start.alias("start"), (start + 3).alias("end"), F.lit(True).alias("overlap")).alias("t"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    return whole.select("conv_id", rules.order_rules(F.col("turns")).alias("message"))
 
 
 def dup_ids(spark, sf_dir):
-    """Second and later documents of one text."""
-    nth = F.row_number().over(W.partitionBy(F.md5("text")).orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", nth.alias("nth")).filter("nth > 1")
+    """Second and later documents of one text, as records of one id."""
+    records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), F.md5("text").alias("id"))
+    return validate.duplicate_ids(records).select("line", "conv_id", "field", "message")
 
 
 def coverage_full_outer(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "quality")
-    both = docs.join(labels, F.col("doc_id") == F.col("of"), "full_outer")
-    state = F.when(F.col("of").isNull(), "unlabelled").when(F.col("doc_id").isNull(), "unknown").otherwise("labelled")
-    return both.groupBy(state.alias("state"), "lang").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good"))
+    """Documents as records of a split against the splits that labels list: issues by kind."""
+    records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), F.col("doc_id").cast("string").alias("id"), F.when(F.col("lang") == "en", "train").otherwise("test").alias("value"))
+    split = F.when(F.col("quality") == 1, "train").when(F.col("toxic") == 1, "val").otherwise("test")
+    listed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("place"), (F.col("doc_id") + F.when(F.col("doc_id") % 9 == 0, 1_000_000).otherwise(0)).cast("string").alias("listed_id"), split.alias("split"))
+    return validate.split_issues(records, listed).groupBy("field", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
 def redaction_rescan(spark, sf_dir):
     """E-mail addresses that are still in messages: where, not what."""
     turns = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
-    spans = profile.span_rows(turns.select("doc_id", "text"), F.col("text"), packs.Pack("mail", languages=("en",), patterns=(packs.EMAIL,)))
+    spans = profile.span_rows(turns.select("doc_id", "text"), F.col("text"), MAIL)
     return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("left"))
 
 
@@ -175,7 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         normalized_plain, normalized_text_en, budget_prefix_rows, id_columns_tools, table_pii_by_column, json_cells, turn_order_check, dup_ids, coverage_full_outer,
         redaction_rescan, decisions, whatsapp_sessionise, stream_rescan, stream_duplicates,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | golden.queries()
 
 
 _WORD = r"[\p{L}\p{N}_]+"
@@ -224,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "normalized_plain": r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s\p{Z}]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS normal FROM conversations",
         "budget_prefix_rows": (
-            f"SELECT source, doc_id, n_chars FROM (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) WHERE b <= {BUDGET}"
+            f"SELECT source, doc_id, n_chars FROM (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) WHERE b <= {TABLE_CHARS}"
         ),
         "id_columns_tools": (
             "SELECT table_name, column_name, CASE WHEN row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) <= 3 THEN "
@@ -236,13 +245,18 @@ def oracle_sql() -> dict[str, str]:
             "WHERE type NOT IN ('NULL', 'BOOLEAN', 'OBJECT', 'ARRAY') GROUP BY key"
         ),
         "turn_order_check": (
-            "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE turn - last <> 1) AS gaps, count(*) FILTER (WHERE role = before) AS same_speaker FROM "
-            "(SELECT *, lag(turn) OVER w AS last, lag(role) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY conv_id"
+            "WITH t AS (SELECT conv_id, turn, CAST((turn * 7 + conv_id) % 5 + turn AS DOUBLE) AS s FROM conversations), "
+            "l AS (SELECT *, row_number() OVER w - 1 AS i, lag(s) OVER w AS p FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
+            "m AS (SELECT conv_id, i, 'turn ' || i || CASE WHEN s < p THEN ' starts before the turn ahead of it' ELSE ' overlap is true, but it starts at ' || s || ' s and the turn ahead of it ends at ' || (p + 3) || ' s' END AS message "
+            "FROM l WHERE s < p OR s >= p + 3) SELECT DISTINCT c.conv_id, x.message FROM conversations c LEFT JOIN (SELECT conv_id, arg_min(message, i) AS message FROM m GROUP BY conv_id) x ON c.conv_id = x.conv_id"
         ),
-        "dup_ids": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY text ORDER BY doc_id) AS INT) AS nth FROM documents QUALIFY nth > 1",
+        "dup_ids": "SELECT doc_id AS line, md5(text) AS conv_id, 'id' AS field, 'duplicate id' AS message FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1",
         "coverage_full_outer": (
-            "SELECT CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN d.doc_id IS NULL THEN 'unknown' ELSE 'labelled' END AS state, d.lang, count(*) AS n, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS good "
-            "FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2"
+            "WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS s FROM documents), "
+            "l AS (SELECT CAST(doc_id + CASE WHEN doc_id % 9 = 0 THEN 1000000 ELSE 0 END AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'train' WHEN toxic = 1 THEN 'val' ELSE 'test' END AS s FROM labels), "
+            "j AS (SELECT r.s AS said, l.s AS listed, r.id AS rid FROM r FULL OUTER JOIN l ON r.id = l.id) "
+            "SELECT CASE WHEN said IS NULL OR listed IS NULL THEN 'splits.json' ELSE 'meta.split' END AS field, CASE WHEN said IS NULL THEN 'names no valid conversation in this manifest' WHEN listed IS NULL THEN 'not assigned to any split' "
+            "ELSE 'row says ''' || said || ''', splits.json says ''' || listed || '''' END AS message, count(*) AS n FROM j WHERE said IS NULL OR listed IS NULL OR said <> listed GROUP BY 1, 2"
         ),
         "redaction_rescan": f'SELECT doc_id, CAST(len(regexp_extract_all(text, \'{_EMAIL}\')) AS BIGINT) AS "left" FROM documents WHERE regexp_matches(text, \'{_EMAIL}\')',
         "decisions": (
@@ -253,6 +267,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "whatsapp_sessionise": "SELECT role AS speaker, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role",
         "stream_rescan": f"SELECT CAST(sum(len(regexp_extract_all(text, '{_EMAIL}'))) AS BIGINT) AS n, 'email' AS type FROM documents WHERE regexp_matches(text, '{_EMAIL}')",
+        **golden.oracle_sql(),
         "stream_duplicates": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, ts, event_type FROM events) GROUP BY 1, 2",
     }
 

@@ -6,16 +6,12 @@ state is bounded by the lateness that is allowed and not by the stream's length.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgauge.functions.packs import Pack
 from talkgauge.operators.profile import span_rows
-
-FALLBACK_DIR = "/tmp/checkpoints"
-
+from talkgauge.sources.shared import shared_folder
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files that are or come to be at ``path``."""
@@ -24,7 +20,7 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
 
 def caught_up(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """What the stream yields until it has read all that is there, as a table."""
-    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_DIR).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = shared_folder(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/out")
