@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 
 from talkgauge.llm.common import mapped, without
 
-#: A worker forgets the pre-tokens it has seen beyond so many, or so many characters; they are then encoded again.
-CACHE_SIZE, CACHE_CHARS = 200_000, 8 << 20
+#: A worker forgets pre-tokens beyond so many, or so many characters, all but the first half: those that came early are the frequent ones.
+CACHE_SIZE, CACHE_CHARS = 300_000, 8 << 20
 #: Bytes of ids in one outgoing batch.
 BATCH_BYTES = 16 << 20
 
@@ -126,8 +127,8 @@ class Codec:
             return b"".join(map(self.seen.__getitem__, cut))
         except KeyError:
             if len(self.seen) > CACHE_SIZE or self.held > CACHE_CHARS:
-                self.seen.clear()
-                self.held = 0
+                self.seen = dict(itertools.islice(self.seen.items(), CACHE_SIZE // 2)) if self.held <= CACHE_CHARS else {}
+                self.held = sum(map(len, self.seen))
             new = {t for t in cut if t not in self.seen}
             self.held += sum(map(len, new))
             self._learn(new)
