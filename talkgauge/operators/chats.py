@@ -16,6 +16,8 @@ from talkgauge.sources.files import STAMP
 
 STAMPED = to_java(STAMP, ignore_case=True)
 SPOKEN = to_java(STAMP + r"\s?[-–]?\s?(?P<speaker>[^:]{1,60}): ", ignore_case=True)
+#: Lines of a file that are numbered together.
+BLOCK_LINES = 10_000
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -28,12 +30,18 @@ def export_messages(lines: DataFrame) -> DataFrame:
     """(path, message, speaker, body) from the lines of chat exports.
 
     A line with a stamp and a sender begins a message; one with a stamp alone is a notice and belongs to none;
-    others go on with the message before, and those before the first message are dropped.
+    others go on with the message before, and those before the first message are dropped. Messages are counted
+    block by block, and a block starts from the count of those before it, so a long export is not one task's work.
     """
     spoken, stamped = F.col("value").rlike(SPOKEN), F.col("value").rlike(STAMPED)
-    rows = lines.withColumn("begins", spoken).filter(spoken | ~stamped)
-    message = F.sum(F.col("begins").cast("int")).over(W.partitionBy("path").orderBy("line"))
-    rows = rows.withColumn("message", message).filter("message > 0")
+    rows = lines.withColumn("begins", spoken).filter(spoken | ~stamped).withColumn("block", F.floor(F.col("line") / BLOCK_LINES))
+    begun = F.sum(F.col("begins").cast("long"))
+    blocks = rows.groupBy("path", "block").agg(begun.alias("held"))
+    earlier = F.coalesce(F.sum("held").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("path").alias("of"), F.col("block").alias("in"), earlier.alias("earlier"))
+    rows = rows.withColumn("inside", begun.over(W.partitionBy("path", "block").orderBy("line")))
+    rows = rows.join(blocks, F.col("path").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in")))
+    rows = rows.withColumn("message", F.col("earlier") + F.col("inside")).filter("message > 0")
     said = F.when(F.col("begins"), F.regexp_replace("value", SPOKEN, "")).otherwise(F.col("value"))
     speaker = F.when(F.col("begins"), text.stripped(F.regexp_extract("value", SPOKEN, 1)))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", said.alias("said")))), lambda x: x["said"]), "\n")

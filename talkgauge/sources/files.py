@@ -44,6 +44,9 @@ BLOCK = re.compile(
 )
 TAG = re.compile(r"<[^>]+>")
 
+#: Assets of saved pages up to which their paths are broadcast, so that no content is exchanged.
+MOST_ASSETS = 100_000
+
 #: What one file's errors may be; anything else is a bug and ends the job.
 FILE_ERRORS = (OSError, ValueError, RuntimeError, csv.Error, KeyError, TypeError)
 
@@ -194,7 +197,8 @@ def _records(form: str, content: bytes) -> tuple[Iterator | list, bool, list[str
     if form == "json":
         return records_of(json.loads(read_whole(content))), False, []
     text, cut = read_text(content)
-    return (*json_lines(text, cut)[:1], cut, json_lines(text, cut)[1])
+    rows, errors = json_lines(text, cut)
+    return rows, cut, errors
 
 
 def _document(form: str, content: bytes, facts: dict) -> Iterator[Part]:
@@ -378,11 +382,12 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     files = files.select(path.alias("path"), "content")
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     files = files.filter(~F.exists(folders, lambda d: d.isin(*SKIPPED_FOLDERS)) & ~F.element_at(F.split("path", "/"), -1).startswith("."))
-    # A page saved as x.html has its assets in x_files: an anti-join on every folder above a file.
-    pages = files.filter(F.col("path").rlike(r"\.html?$")).select(F.regexp_replace("path", r"\.html?$", "_files").alias("asset")).distinct()
-    above = files.select("path", F.posexplode(F.split("path", "/")).alias("depth", "part")).select("path", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth")), "/").alias("folder"))
-    inside = above.join(pages, F.col("folder") == F.col("asset"), "left_semi").select(F.col("path").alias("gone")).distinct()
-    return files.join(inside, F.col("path") == F.col("gone"), "left_anti")
+    # A page saved as x.html has its assets in x_files: an anti-join on every folder above a file. Contents stay out of it.
+    paths = files.select("path")
+    pages = paths.filter(F.col("path").rlike(r"\.html?$")).select(F.regexp_replace("path", r"\.html?$", "_files").alias("asset")).distinct()
+    above = paths.select("path", F.posexplode(F.split("path", "/")).alias("depth", "part")).select("path", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth")), "/").alias("folder"))
+    assets = above.join(pages, F.col("folder") == F.col("asset"), "left_semi").select(F.col("path").alias("gone")).distinct()
+    return files.join(F.broadcast(assets) if assets.count() <= MOST_ASSETS else assets, F.col("path") == F.col("gone"), "left_anti")
 
 
 def parts(spark: SparkSession, root: str) -> DataFrame:
