@@ -7,10 +7,11 @@ by descending a segment tree over the possible capacities. A row's binary column
 integers (16 bits if the vocabulary allows, else 32), beside the cumulative segment lengths (for attention that
 stays in a segment) and the columns at which positions start again at zero.
 
-Documents are dealt to windows of about ``window_ids`` ids by a hash of their id and tokens, and come to a window in
+Documents are dealt to windows of at most about ``window_ids`` ids by a hash of their id and tokens, and come to a window in
 the order of both: rows depend on the documents alone, not on how they are stored or partitioned. A window is packed by itself,
 so memory is bounded, a lost task is repeated alone, and at most one part-filled row a size class is left per
-window. Windows end early at twice their size, so rows that repeat one document very often make several.
+window. Windows end early at twice their size, so rows that repeat one document very often make several. The one exchange
+moves the ids, in 16 bits where the vocabulary allows.
 
 Null and empty documents become a single end mark; null ids are kept. Repeated rows are packed each for itself. Ties
 between pieces of one length go to the first, and between rows with one capacity to the latest opened. Empty tables
@@ -19,15 +20,18 @@ give no rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from talkgauge.llm.common import mapped
+from talkgauge.llm.common import mapped, without
 
 ROW = 2048
-WINDOW_IDS = 4 << 20
+WINDOW_IDS = 1 << 20
 
 
 class Capacities:
@@ -106,11 +110,34 @@ def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary + 2 <= 1 << 16 else "<u4")
 
 
-def pack(tokens: DataFrame, vocabulary: int, row: int = ROW, window_ids: int = WINDOW_IDS, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
+def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with ``ids_col`` instead of its text: token ids of type ``id_type``, by the tiktoken library; null texts have none."""
+    parts, key, kind = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex, id_type(len(ranks))
+    docs = without(docs, ids_col)
+    rest = [f for f in docs.schema.fields if f.name != text_col]
+    at, schema = docs.columns.index(text_col), T.StructType([*rest, T.StructField(ids_col, T.BinaryType())])
+
+    def run(batches):
+        import tiktoken
+
+        # This module travels by value: what a worker keeps hangs on a library that it imports.
+        held = getattr(tiktoken, "_kept_encoding", None)
+        if held is None or held[0] != key:
+            tiktoken._kept_encoding = held = (key, tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parts.value, special_tokens={}))
+        encode = held[1].encode_ordinary
+        for b in batches:
+            ids = [None if t is None else np.array(encode(t), kind).tobytes() for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(b.columns) if i != at], pa.array(ids, pa.binary())], names=[f.name for f in schema.fields])
+
+    return mapped(docs, run, schema)
+
+
+def pack(tokens: DataFrame, vocabulary: int, row: int = ROW, window_ids: int = WINDOW_IDS, most_ids: int | None = None, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """One line a packed row: ids (binary), n_ids, cu_seqlens, resets, doc_ids, pieces, last.
 
-    ``ids_col`` holds a document's ids below ``vocabulary`` as unsigned 32-bit little-endian integers; ``vocabulary`` itself ends a
-    document, and the number after it pads. ``tokens`` is read twice, so it should be a table.
+    ``ids_col`` holds a document's ids below ``vocabulary`` as little-endian integers of ``id_type``; ``vocabulary`` itself ends a
+    document, and the number after it pads. ``most_ids`` is a bound of all ids together, end marks included, by which windows are numbered;
+    without it the ids are counted first, which reads ``tokens`` once more.
     """
     names = ["ids", "n_ids", "cu_seqlens", "resets", "doc_ids", "pieces", "last"]
     kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
@@ -134,7 +161,7 @@ def pack(tokens: DataFrame, vocabulary: int, row: int = ROW, window_ids: int = W
                     if ids:
                         yield from lines(ids, owners)
                     ids, owners, size, current = [], [], 0, window
-                own = np.frombuffer(raw.as_buffer() if raw.is_valid else b"", "<u4")
+                own = np.frombuffer(raw.as_buffer() if raw.is_valid else b"", kind)
                 if len(own) and int(own.max()) >= vocabulary:
                     raise ValueError(f"an id of document {doc} is not in a vocabulary of {vocabulary}")
                 x = np.full(len(own) + 1, end, kind)
@@ -145,8 +172,9 @@ def pack(tokens: DataFrame, vocabulary: int, row: int = ROW, window_ids: int = W
         if ids:
             yield from lines(ids, owners)
 
-    total = tokens.agg(F.sum(F.coalesce(F.octet_length(ids_col), F.lit(0)) / 4 + 1)).first()[0] or 0
-    windows = max(1, -(-int(total) // window_ids))
+    if most_ids is None:
+        most_ids = int(tokens.agg(F.sum(F.coalesce(F.octet_length(ids_col), F.lit(0)) / kind.itemsize + 1)).first()[0] or 0)
+    windows = max(1, -(-most_ids // window_ids))
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(ids_col))
     dealt = tokens.select(F.pmod(key, F.lit(windows)).alias("window"), F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"), key.alias("key"))
     dealt = dealt.repartition("window").sortWithinPartitions("window", "doc_id", "key").drop("key")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgauge.llm import bpe, embedding_dedup, langid, licenses, mixing, mpegts, ngram_join, oracles, packing, pii, warc
-from talkgauge.llm.common import read_table, written
+from talkgauge.llm.common import read_table
 
 
 def _tokenizer() -> tuple[str, str]:
@@ -83,8 +83,10 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _tokenizer()
-    tokens = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    return packing.pack(written(tokens), len(bpe.read_ranks(path)))
+    docs, ranks = read_table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.read_ranks(path)
+    # A token has a byte at least, so bytes and end marks bound the ids.
+    most = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    return packing.pack(packing.tokenise(docs, ranks, pattern), len(ranks), most_ids=most)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

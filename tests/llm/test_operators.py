@@ -800,23 +800,30 @@ def test_best_fit():
 
 def test_packing(spark, docs):
     """Lossless, the same however the table is partitioned, and nearly full."""
-    as_ids = F.udf(lambda t: None if t is None else np.frombuffer(t.encode(), np.uint8).astype("<u4").tobytes(), "binary")
-    df = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", as_ids("text").alias("ids"), "key")
+    texts = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+
+    def ids_of(kind):
+        as_ids = F.udf(lambda t: None if t is None else np.frombuffer(t.encode(), np.uint8).astype(kind).tobytes(), "binary")
+        return texts.select("doc_id", as_ids("text").alias("ids"), "key")
+
     for row, window, vocabulary in ((2048, 4 << 20, 256), (16, 400, 256), (64, 4000, 1 << 17)):
+        kind = packing.id_type(vocabulary)
+        df = ids_of(kind)
         packed = packing.pack(df, vocabulary, row=row, window_ids=window)
         rows = [r.asDict() for r in packed.collect()]
-        want = {r.doc_id: np.frombuffer(r.ids or b"", "<u4").tolist() for r in df.collect()}
+        want = {r.doc_id: np.frombuffer(r.ids or b"", kind).tolist() for r in df.collect()}
         assert {d: x.tolist() for d, x in packing.unpack(rows, vocabulary).items()} == want
-        kind = packing.id_type(vocabulary)
         for r in rows:
             line = np.frombuffer(r["ids"], kind)
             assert len(line) == row and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_ids"] and r["resets"] == r["cu_seqlens"][:-1] and (line[r["n_ids"] :] == vocabulary + 1).all()
             assert all((line[e - 1] == vocabulary) == last for e, last in zip(r["cu_seqlens"][1:], r["last"], strict=True))
-        again = packing.pack(df.repartition(7), vocabulary, row=row, window_ids=window).collect()
+        counted = sum(len(x) + 1 for x in want.values())
+        again = packing.pack(df.repartition(7), vocabulary, row=row, window_ids=window, most_ids=counted).collect()
         assert sorted(r.ids for r in again) == sorted(r["ids"] for r in rows)
         least = sum(len(x) + 1 for x in want.values()) / row
         windows = -(-sum(len(x) + 1 for x in want.values()) // window)
         assert len(rows) <= 11 / 9 * least + 2 * windows and packing.fill(packed, row) == pytest.approx(least / len(rows))
+    df = ids_of(packing.id_type(256))
     assert packing.pack(df.limit(0), 256).count() == 0 and packing.fill(packing.pack(df.limit(0), 256)) == 1.0
     assert packing.pack(df.unionByName(df).withColumn("doc_id", F.lit(None).cast("long")), 256).count() > 0
     with pytest.raises(Exception, match="vocabulary of 10"):
