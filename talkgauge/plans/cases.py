@@ -147,7 +147,7 @@ MANIFEST_FILES = {
     "splits.json": json.dumps({"train": ["c1", "c1", "c2", "c3", "c4", "ghost"], "val": ["c2", "c7"], "dev": [], "seed": True}).encode(),
 }
 _RESAMPLE = "run `prepare` to resample or fix the declaration"
-#: (line, conversation, field, message) of its issues.
+#: (line, conversation, field, message) of its issues; 0 is no line.
 MANIFEST_ISSUES = (
     (2, "c2", "audio.channels", "declared 2, file has 1"),
     (2, "c2", "audio.duration_s", "declared 2.0, file is 9.00"),
@@ -167,15 +167,15 @@ MANIFEST_ISSUES = (
     (9, "c8", "audio.sample_rate", "declared 24000, file is 8000"),
     (9, "c8", "meta.redaction_log", "none.json does not exist"),
     (11, "<unparsed>", "json", "Expecting property name enclosed in double quotes: line 1 column 2 (char 1)"),
-    (None, "<splits.json>", "splits.json", "unknown key 'dev'"),
-    (None, "<splits.json>", "splits.json", "'seed' must be a whole number, got true"),
-    (None, "c1", "splits.json", "listed twice in train"),
-    (None, "ghost", "splits.json", "names no valid conversation in this manifest"),
-    (None, "c2", "splits.json", "in both train and val"),
-    (None, "c2", "meta.split", "row says 'train', splits.json says 'val'"),
-    (None, "c7", "meta.split", "row says 'train', splits.json says 'val'"),
-    (None, "c5", "splits.json", "not assigned to any split"),
-    (None, "c8", "splits.json", "not assigned to any split"),
+    (0, "<splits.json>", "splits.json", "unknown key 'dev'"),
+    (0, "<splits.json>", "splits.json", "'seed' must be a whole number, got true"),
+    (0, "c1", "splits.json", "listed twice in train"),
+    (0, "ghost", "splits.json", "names no valid conversation in this manifest"),
+    (0, "c2", "splits.json", "in both train and val"),
+    (0, "c2", "meta.split", "row says 'train', splits.json says 'val'"),
+    (0, "c7", "meta.split", "row says 'train', splits.json says 'val'"),
+    (0, "c5", "splits.json", "not assigned to any split"),
+    (0, "c8", "splits.json", "not assigned to any split"),
 )
 
 #: Redaction logs by name, of conversation "c" with two turns, the texts "Hi" and "a p", and a recording of 2 s; and what is said about each.

@@ -109,8 +109,9 @@ def table_pii_by_column(spark, sf_dir):
     out = None
     for name, seq in (("customer", "c_custkey"), ("events", "event_id")):
         rows = table(spark, sf_dir, name)
-        cells = rows.select(F.lit(name).alias("path"), F.col(seq).alias("seq"), *[F.col(c).cast("string").alias(c) for c in rows.columns])
-        cells = cells.unpivot(["path", "seq"], rows.columns, "name", "value").filter("value is not null and value <> ''")
+        # An array of pairs, as generated code for unpivoted columns doesn't compile beside the patterns' expressions.
+        pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in rows.columns])
+        cells = rows.select(F.lit(name).alias("path"), F.col(seq).alias("seq"), F.inline(pairs)).filter("value <> ''")
         out = cells if out is None else out.unionByName(cells)
     return profile.cell_pii(out, get_pack("en-US")).select("path", "name", "type", "n")
 
