@@ -33,10 +33,10 @@ from talkgauge.llm.components import components
 #: Vectors of the sample on which axes and tile borders are fitted, about.
 SAMPLE = 8192
 #: Most vectors in a tile, about; least tiles, so that small tables still use several tasks.
-TILE, LEAST_TILES = 16_384, 5
+TILE, LEAST_TILES = 32_768, 5
 #: Vectors in a block, and dimensions accumulated between two looks at the bound.
 BLOCK, STEP = 1024, 16
-_SLACK = 1e-9
+_SLACK, _COARSE_SLACK = 1e-9, 1e-4
 
 
 def _usable(column: str):
@@ -69,34 +69,29 @@ def _blocks(ids: np.ndarray, x: np.ndarray, axes: np.ndarray):
 def linked_pairs(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) with a cosine of at least the threshold: rotated blocks a and b, unit vectors ua and ub.
 
-    Dimensions are accumulated STEP by STEP; once few pairs can still reach the threshold, only these go on.
+    Dimensions are accumulated STEP by STEP, and only pairs that can still reach the threshold go on; where most pairs can, all
+    dimensions are multiplied at once.
     """
     dim = a.shape[1]
     tail = [np.sqrt(np.maximum((x * x)[:, ::-1].cumsum(1)[:, ::-1], 0)) for x in (a, b)]
-    dots, at = np.zeros((len(a), len(b))), 0
-    while at < dim:
-        to = min(at + STEP, dim)
-        dots += a[:, at:to] @ b[:, at:to].T
-        at = to
-        if at == dim:
-            i, j = np.nonzero(dots >= threshold - _SLACK)
-            some = dots[i, j]
-            break
-        bound = threshold - _SLACK - np.outer(tail[0][:, at], tail[1][:, at])
-        alive = dots >= bound
-        if (n := np.count_nonzero(alive)) * 8 < alive.size:
-            if not n:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            i, j = np.nonzero(alive)
-            some = dots[i, j]
-            while at < dim and len(i):
-                to = min(at + STEP, dim)
-                some = some + np.einsum("ij,ij->i", a[i, at:to], b[j, at:to])
-                at = to
-                rest = tail[0][i, at] * tail[1][j, at] if at < dim else 0
-                go = some + rest >= threshold - _SLACK
-                i, j, some = i[go], j[go], some[go]
-            break
+    tail = [np.concatenate([x, np.zeros((len(x), 1))], axis=1) for x in tail]
+    # The first look is in single precision, with slack for its rounding: what it lets through is looked at again.
+    at = min(STEP, dim)
+    reach = a[:, :at].astype(np.float32) @ b[:, :at].astype(np.float32).T
+    reach += np.multiply.outer(tail[0][:, at].astype(np.float32), tail[1][:, at].astype(np.float32))
+    i, j = np.nonzero(reach >= np.float32(threshold - _COARSE_SLACK))
+    if len(i) * 8 < reach.size:
+        some, at = np.zeros(len(i)), 0
+        while at < dim and len(i):
+            to = min(at + STEP, dim)
+            some = some + np.einsum("ij,ij->i", a[i, at:to], b[j, at:to])
+            at = to
+            go = some + tail[0][i, at] * tail[1][j, at] >= threshold - _SLACK
+            i, j, some = i[go], j[go], some[go]
+    else:
+        dots = a @ b.T
+        i, j = np.nonzero(dots >= threshold - _SLACK)
+        some = dots[i, j]
     close = np.abs(some - threshold) <= _SLACK
     if close.any():
         exact = np.einsum("ij,ij->i", ua[i[close]], ub[j[close]])
