@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 from functools import reduce
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from talkgauge.functions.packs import get_pack, list_packs
 from talkgauge.functions.text import find_pii
 from talkgauge.operators import rules
 from talkgauge.operators.records import CONVERSATION, REDACTION_LOG, SPLIT, argument_problems, check, schema_problems
-from talkgauge.sources.audio import read_wave
+from talkgauge.sources.audio import sound_head
 
 ISSUE = ("conv_id", "field", "message", "fix", "line")
 #: The order of a line's issues by rule.
@@ -281,8 +282,8 @@ def audio_issues(claims: DataFrame, root: str) -> DataFrame:
             rows = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows.append((path, *read_wave(content, seconds=0)[:3], None))
-                except (OSError, RuntimeError, ValueError) as e:
+                    rows.append((path, *sound_head(content), None))
+                except (OSError, RuntimeError, ValueError, struct.error) as e:
                     rows.append((path, None, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["_path", "_rate", "_channels", "_frames", "_error"])
 

@@ -12,6 +12,7 @@ import html
 import io
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +49,7 @@ TAG = re.compile(r"<[^>]+>")
 MOST_ASSETS = 100_000
 
 #: What one file's errors may be; anything else is a bug and ends the job.
-FILE_ERRORS = (OSError, ValueError, RuntimeError, csv.Error, KeyError, TypeError)
+FILE_ERRORS = (OSError, ValueError, RuntimeError, csv.Error, KeyError, TypeError, struct.error)
 
 #: what: file (one a file: facts so far as JSON in value), text, cell, message. seq orders the rows of a file.
 PARTS = "path string, kind string, format string, readable boolean, note string, what string, seq long, name string, value string"
