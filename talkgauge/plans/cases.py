@@ -216,7 +216,21 @@ ARGUMENT_CASES = (
     ({"properties": {"n": {"const": 1}}}, {"n": 2}, "1 was expected"),
     ({"properties": {"a": {}}, "additionalProperties": False}, {"a": 1, "b": 2}, "Additional properties are not allowed ('b' was unexpected)"),
     ({"properties": {"l": {"type": "array", "items": {"type": "boolean"}, "minItems": 1}}}, {"l": [True, 1]}, "1 is not of type 'boolean'"),
-    ({"properties": {"l": {"type": "array", "minItems": 1}}}, {"l": []}, "[] is too short"),
+    ({"properties": {"l": {"type": "array", "minItems": 1}}}, {"l": []}, "[] should be non-empty"),
+    ({"properties": {"l": {"minItems": 2}}}, {"l": [1]}, "[1] is too short"),
+    ({"$defs": {"n": {"type": "integer"}}, "properties": {"a": {"$ref": "#/$defs/n"}}}, {"a": "x"}, "'x' is not of type 'integer'"),
+    ({"properties": {"a": {"anyOf": [{"type": "string"}, {"type": "null"}]}}}, {"a": 1}, "1 is not valid under any of the given schemas"),
+    ({"properties": {"a": {"oneOf": [{"type": "integer"}, {"minimum": 2}]}}}, {"a": 1}, ""),
+    ({"properties": {"a": {"not": {"type": "string"}}}}, {"a": "x"}, "'x' should not be valid under {'type': 'string'}"),
+    ({"allOf": [{"required": ["a"]}, {"required": ["b"]}]}, {"a": 1}, "'b' is a required property"),
+    ({"if": {"required": ["a"]}, "then": {"required": ["b"]}}, {"a": 1}, "'b' is a required property"),
+    ({"patternProperties": {"^x": {"type": "string"}}, "additionalProperties": False}, {"x1": 1}, "1 is not of type 'string'"),
+    ({"properties": {"l": {"uniqueItems": True}}}, {"l": [1, 1]}, "[1, 1] has non-unique elements"),
+    ({"properties": {"l": {"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}}}, {"l": ["a", "b"]}, "'b' is not of type 'integer'"),
+    ({"properties": {"n": {"multipleOf": 3}}}, {"n": 4}, "4 is not a multiple of 3"),
+    ({"dependentRequired": {"a": ["b"]}}, {"a": 1}, "'b' is a dependency of 'a'"),
+    ({"properties": {"s": {"type": "string", "format": "date", "x-note": "own"}}}, {"s": "no date"}, ""),
+    ({"properties": {"b": {"enum": [1]}}}, {"b": True}, "True is not one of [1]"),
     ({"properties": {"s": {"pattern": "^x", "maxLength": 2}}}, {"s": "yyy"}, "'yyy' does not match '^x'; 'yyy' is too long"),
     ({"type": "thing"}, {}, "schema: 'thing' is not valid under any of the given schemas"),
     ({"properties": 3}, {}, "schema: 3 is not of type 'object'"),
