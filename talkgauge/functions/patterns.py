@@ -8,7 +8,9 @@ from __future__ import annotations
 
 _CLASSES = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": r"\s\x1c-\x1f\x85\p{Z}"}
 _WORD = rf"[{_CLASSES['w']}]"
-_BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+#: Inside a plain word there is no boundary: two cheap looks rule that out before the classes of Unicode are asked.
+_NOT_INSIDE = "(?:(?<![A-Za-z0-9_])|(?![A-Za-z0-9_]))"
+_BOUNDARY = rf"{_NOT_INSIDE}(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
 def to_java(pattern: str, ignore_case: bool = False, dot_all: bool = False) -> str:

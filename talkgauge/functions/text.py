@@ -179,20 +179,19 @@ def _hinglish_normal(text: Column) -> Column:
 
 def _hits(text: Column, pattern: Pattern, order: int) -> Column:
     """A pattern's matches that pass its check and its context, ready to be sorted."""
-    found = places(text, pattern.java)
+    looks = bool(pattern.deny or pattern.require)
+    found = places(text, pattern.java, CONTEXT_WINDOW if looks else 0)
     if pattern.check:
         check = pattern.check
         found = F.filter(found, lambda x: F.coalesce(check(x["value"]), F.lit(False)))
-
-    def before(x: Column) -> Column:
-        return F.substring(text, F.greatest(x["start"] - (CONTEXT_WINDOW - 1), F.lit(1)), F.least(x["start"], F.lit(CONTEXT_WINDOW)))
-
     if pattern.deny:
         deny = to_java(pattern.deny, ignore_case=True).replace("$", r"\z")
-        found = F.filter(found, lambda x: ~before(x).rlike(deny))
+        found = F.filter(found, lambda x: ~x["before"].rlike(deny))
     if pattern.require:
         require = to_java(pattern.require, ignore_case=True).replace("$", r"\z")
-        found = F.filter(found, lambda x: before(x).rlike(require))
+        found = F.filter(found, lambda x: x["before"].rlike(require))
+    if looks:
+        found = F.transform(found, lambda x: F.struct(x["start"], x["end"], x["value"]))
     found = F.when(text.rlike(pattern.hint), found).otherwise(none())
     return F.transform(
         found,
