@@ -17,10 +17,16 @@ record are resolved each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talkgauge.llm.common import mapped
+
 #: Seconds in a time bucket.
 BUCKET = 3600
 
@@ -121,6 +127,80 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
+def _http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
+    """(status, headers with lower-cased names, body) of an HTTP response; no status if it is none."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    first, *lines = head.decode("latin-1").split("\r\n")
+    status = first.split(" ", 2)[1:2] if first.startswith("HTTP/") else []
+    pairs = [line.partition(":") for line in lines if ":" in line]
+    return int(status[0]) if status and status[0].isdigit() else None, [(k.strip().lower(), v.strip()) for k, _, v in pairs], body
+
+
+def _unpacked(content: bytes) -> bytes:
+    """The members of a gzip file one after the other, as far as they go; plain bytes as they are."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out, at, view, member = [], 0, memoryview(content), zlib.decompressobj(31)
+    try:
+        while at < len(view):
+            chunk = view[at : at + (1 << 16)]
+            out.append(member.decompress(chunk))
+            at += len(chunk) - len(member.unused_data)
+            if member.eof:
+                member = zlib.decompressobj(31)
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def parse_warc(content: bytes):
+    """(id, url, date, status, digest, headers) of the responses and revisits in a WARC file, plain or compressed record by record.
+
+    A file that breaks off yields the records before.
+    """
+    raw = _unpacked(content)
+    at = 0
+    while (at := raw.find(b"WARC/", at)) >= 0:
+        end = raw.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        named = dict((k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]))
+        size = int(named["content-length"]) if named.get("content-length", "").isdigit() else 0
+        block, at = raw[end + 4 : end + 4 + size], end + 4 + size
+        if len(block) < size:
+            return
+        kind = named.get("warc-type")
+        if kind in ("response", "revisit"):
+            status, headers, body = _http(block)
+            revisit = kind == "revisit" and (status == 304 or named.get("warc-profile", "").endswith("server-not-modified"))
+            digest = named.get("warc-payload-digest") or f"sha1:{hashlib.sha1(body).hexdigest()}"
+            yield named.get("warc-record-id"), named.get("warc-target-uri", "").strip("<>") or None, named.get("warc-date"), 304 if revisit else status, None if revisit else digest, headers
+
+
+def read_warc(spark, path: str) -> DataFrame:
+    """The records of WARC files (a folder, file or pattern) as ``resolve_revisits`` takes them; record_id is a hash of the record's own id.
+
+    A file is one task's work and is held in memory, as its records are compressed one after the other; it may have 2 GB.
+    """
+    columns = "id string, url string, date string, status int, digest string, headers " + HEADERS
+
+    def run(batches):
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))]
+        for b in batches:
+            for content in b.column(0):
+                rows = []
+                for *plain, headers in parse_warc(content.as_py()):
+                    rows.append((*plain, [{"name": k, "value": v} for k, v in headers]))
+                    if len(rows) == 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in columns.split(", ")])
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in columns.split(", ")])
+
+    found = mapped(spark.read.format("binaryFile").load(path).select("content"), run, columns)
+    return found.select(F.xxhash64("id").alias("record_id"), "url", F.try_to_timestamp("date").alias("ts"), "status", "digest", "headers")
+
+
 def records_of_pages(pages: DataFrame) -> DataFrame:
     """Two records per page: its capture, and a revisit twelve hours later that names the page's own validator.
 

@@ -769,6 +769,32 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    """Captures and a revisit written as WARC records, plain and compressed, one file broken off."""
+    import gzip
+
+    def record(kind, uri, date, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}:{uri}:{date}>", "WARC-Target-URI": uri, "WARC-Date": date, "Content-Length": str(len(block)), **more}
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nETag: \"a\"\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0 inside\r\n\r\n</p>"
+    parts = [
+        record("warcinfo", "", "2024-01-01T00:00:00Z", b"software: x\r\n"),
+        record("response", "http://a.example/x", "2024-01-01T00:00:00Z", page),
+        record("request", "http://a.example/x", "2024-01-01T00:00:01Z", b"GET /x HTTP/1.1\r\n\r\n"),
+        record("response", "http://a.example/x?utm_source=y", "2024-01-02T00:00:00Z", page.replace(b'"a"', b'"b"'), **{"WARC-Payload-Digest": "sha1:own"}),
+    ]
+    revisit = record("revisit", "https://www.a.example/x/", "2024-01-03T00:00:00Z", b'HTTP/1.1 304 Not Modified\r\nETag: W/"b"\r\nX: new\r\n\r\n', **{"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/server-not-modified"})
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(revisit) + gzip.compress(parts[1])[:-30])
+    (tmp_path / "c.warc").write_bytes(b"")
+    records = warc.read_warc(spark, str(tmp_path))
+    assert sorted((r.status, r.digest or "") for r in records.collect()) == [(200, f"sha1:{hashlib.sha1(page.partition(b'\r\n\r\n')[2]).hexdigest()}"), (200, "sha1:own"), (304, "")]
+    (found,) = warc.resolve_revisits(records).collect()
+    assert (found.validator, found.digest, str(found.refers_ts)) == ("etag", "sha1:own", "2024-01-02 00:00:00")
+    assert {h.name: h.value for h in found.headers} == {"content-type": "text/html", "etag": 'W/"b"', "x": "new"}
+
+
 def test_revisits_awkward(spark):
     """Null and equal times, repeated records, one hot URL, and columns named like the operator's own."""
     hot = [(i, "http://h.example/", 1000, 200, f"d{i}", None) for i in range(500)] + [(500 + i, "http://h.example/", 1000, 304, None, None) for i in range(500)]
