@@ -13,7 +13,7 @@ import io
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -344,22 +344,37 @@ def _chat(form: str, content: bytes, facts: dict) -> Iterator[Part]:
         yield "message", who, body
 
 
-def parse(path: str, content: bytes) -> Iterator[tuple]:
+#: What takes a file of a kind to pieces: (format, content, facts to fill, file name without its ending) gives its parts.
+Profiler = Callable[[str, bytes, dict, str], Iterable[Part]]
+
+
+def _audio(form: str, content: bytes, facts: dict, stem: str) -> Iterable[Part]:
+    facts |= audio_facts(content, form)
+    return ()
+
+
+PROFILERS: dict[str, Profiler] = {
+    "document": lambda form, content, facts, _stem: _document(form, content, facts),
+    "table": _table,
+    "chat": lambda form, content, facts, _stem: _chat(form, content, facts),
+    "audio": _audio,
+}
+
+
+def register_profiler(kind: str, profiler: Profiler) -> None:
+    """``profiler`` takes files of ``kind`` to pieces from now on; a kind may be a new one's only if ``classify`` gives it."""
+    PROFILERS[kind] = profiler
+
+
+def parse(path: str, content: bytes, profilers: dict[str, Profiler] = PROFILERS) -> Iterator[tuple]:
     """The rows of one file, in the order of PARTS."""
     kind, form, readable, note = classify(path, content)
     facts: dict = {}
     made: list[Part] = []
     stem = re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1])
-    if readable:
+    if readable and kind in profilers:
         try:
-            if kind == "audio":
-                facts |= audio_facts(content, form)
-            elif kind == "document":
-                made = list(_document(form, content, facts))
-            elif kind == "table":
-                made = list(_table(form, content, facts, stem))
-            elif kind == "chat":
-                made = list(_chat(form, content, facts))
+            made = list(profilers[kind](form, content, facts, stem))
         except FILE_ERRORS as e:
             readable, made = False, []
             facts = {"error": str(e) if isinstance(e, TooLarge) else f"{type(e).__name__}: {e}"}
@@ -395,6 +410,8 @@ def parts(spark: SparkSession, root: str) -> DataFrame:
     """Everything that the folder's files hold, as rows of PARTS."""
     kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     columns = [x.split()[0] for x in PARTS.split(", ")]
+    # Tasks get the registry as it is now: a worker's own copy of this module knows nothing of what was registered.
+    profilers = dict(PROFILERS)
 
     def run(batches):
         def batch(rows):
@@ -403,7 +420,7 @@ def parts(spark: SparkSession, root: str) -> DataFrame:
         for b in batches:
             rows, size = [], 0
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for row in parse(path, content.as_py()):
+                for row in parse(path, content.as_py(), profilers):
                     rows.append(row)
                     size += len(row[-1])
                     if size > 8 << 20:

@@ -8,6 +8,7 @@ import pytest
 
 from talkgauge.functions.packs import get_pack
 from talkgauge.operators.profile import inspect_folder, is_sampled
+from talkgauge.sources import files
 from talkgauge.plans.recommend import Constraints, SummaryError, decision_matrix, recommend
 
 
@@ -150,3 +151,24 @@ def test_matrix_agrees(spark):
         for r in (r for r in rows if r.summary_id == i):
             d = recommend(given, us, Constraints(goals=(r.goal,))).decision(r.goal)
             assert r.have == d.have and r.state == d.eligibility, (r, d)
+
+
+def test_registered_profiler(spark, tmp_path):
+    """A profiler of one's own for a kind: its facts and texts are reported, and errors stay with their file."""
+
+    def shout(form, content, facts, stem):
+        if b"bad" in content:
+            raise ValueError("no shouting")
+        facts["letters"] = len(content)
+        return [("text", None, content.decode().upper() + f" {stem}@x.example")]
+
+    (tmp_path / "a.md").write_text("hello there")
+    (tmp_path / "b.md").write_text("bad")
+    before = files.PROFILERS["document"]
+    files.register_profiler("document", shout)
+    try:
+        report = inspect_folder(spark, str(tmp_path), get_pack("en-US"))
+    finally:
+        files.register_profiler("document", before)
+    assert facts(report, "a.md") == {"words": 5, "languages": {"en-US": 1}, "pii": {"email": 1}, "letters": 11}
+    assert [f.get("error") for f in report["files"]] == [None, "ValueError: no shouting"]
