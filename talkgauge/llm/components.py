@@ -13,10 +13,17 @@ from pyspark.sql import functions as F
 
 from talkgauge.llm.common import written
 
+#: Links up to which a step's table (16 bytes a row) is written as a few files, however many partitions exchanges have.
+FEW_LINKS, FEW_FILES = 1 << 20, 8
 
-def _star(links: DataFrame, minima: DataFrame) -> DataFrame:
+
+def _written(df: DataFrame, few: bool) -> DataFrame:
+    return written(df.coalesce(FEW_FILES) if few else df)
+
+
+def _star(links: DataFrame, minima: DataFrame, few: bool) -> DataFrame:
     """Every (u, v) with u's minimum m."""
-    return links.join(written(minima.withColumnRenamed("u", "of")), F.col("u") == F.col("of"))
+    return links.join(_written(minima.withColumnRenamed("u", "of"), few), F.col("u") == F.col("of"))
 
 
 def _is_forest_of_stars(ends: DataFrame) -> bool:
@@ -34,15 +41,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     ends = written(ends)
+    few = ends.count() <= FEW_LINKS
     while not _is_forest_of_stars(ends):
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both.filter("v > u"), both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        ends = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        small = _star(ends, ends.groupBy("u").agg(F.min("v").alias("m")))
+        large = _star(both.filter("v > u"), both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), few)
+        ends = _written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), few)
+        small = _star(ends, ends.groupBy("u").agg(F.min("v").alias("m")), few)
         pulled = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        ends = written(pulled.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        ends = _written(pulled.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), few)
     nodes = ends.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return written(nodes.unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    return _written(nodes.unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), few)
 
 
 def labelled(rows: DataFrame, column: str, label: str, groups: DataFrame) -> DataFrame:
@@ -59,4 +67,4 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     moved = components(between).select(F.col("node").alias("was"), F.col("component").alias("now"))
     old = groups.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
     new = moved.join(groups, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
-    return written(old.unionByName(new))
+    return _written(old.unionByName(new), max(groups.count(), moved.count()) <= FEW_LINKS)
