@@ -8,7 +8,7 @@ prototype has the greatest cosine with it. Only letters count: texts are lower-c
 anything else is one blank, with a blank before the first word and after the last.
 
 A score says little by itself: short texts have few n-grams, so their cosines are low. What a language can
-be expected to reach is measured (``expected``): the median score of training texts, by the binary logarithm of
+be expected to reach is measured (``expected``): the exact median score of all training texts, by the binary logarithm of
 their letters. A text is in no learned language (``rejects``) if its score is below a share of that, or
 within the noise of random vectors.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgauge.llm.common import mapped, without
+from talkgauge.llm.common import mapped, scratch, without, written
 
 DIM = 1024
 NGRAM = 3
@@ -37,8 +37,8 @@ BLOCK_CHARS = 200_000
 BLOCK_GRAMS = 2048
 #: Scaled text vectors are added as whole numbers of this fraction of their length: sums are the same in any order.
 FIXED_POINT = 1 << 20
-#: Training texts by whose scores ``expected`` is measured, about (fewer, if there are fewer); drawn by a hash.
-CALIBRATION = 65_536
+#: Cells into which ``medians_of`` cuts the range that holds a median.
+CELLS = 1024
 #: Share of the expected score that a text must reach; and standard deviations of a random cosine.
 LEAST_SHARE, NOISE = 0.25, 2.5
 
@@ -214,14 +214,32 @@ def _length_class(text: Column) -> Column:
     return F.when(letters > 0, F.floor(F.log2(letters))).otherwise(-1).cast("int")
 
 
-def expected(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", most: int = CALIBRATION, dim: int = DIM, n: int = NGRAM) -> dict[int, float]:
-    """The median score of training texts by length class (there are at most 32), on about ``most`` of them."""
+def expected(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, n: int = NGRAM) -> dict[int, float]:
+    """The median score of training texts by length class (there are at most 32), from all of them."""
     texts = labelled.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    share = min(1.0, most / max(texts.count(), 1))
-    drawn = texts if share == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    judged = identify(drawn, prototypes, "text", dim, n).select(_length_class(F.col("text")).alias("class"), "score")
-    medians = judged.groupBy("class").agg(F.percentile_approx("score", 0.5).alias("score")).collect()
-    return {r["class"]: r["score"] for r in medians if r["class"] >= 0}
+    judged = identify(texts, prototypes, "text", dim, n).select(_length_class(F.col("text")).alias("class"), "score")
+    with scratch(labelled.sparkSession):
+        return medians_of(written(judged.filter("class >= 0")))
+
+
+def medians_of(scores: DataFrame, cells: int = CELLS) -> dict[int, float]:
+    """The exact median score (of two, the lower) by class: columns class and score.
+
+    The range of scores that holds a class's median is cut into ``cells`` equal cells, and the cell that holds it is the next
+    range, until it is one score. So the driver gets at most ``cells`` counts a class at once, however many rows there are.
+    """
+    sums = (F.min("score").alias("low"), F.max("score").alias("high"), F.count("score").alias("n"))
+    found = {r["class"]: (r.low, r.high, (r.n + 1) // 2) for r in scores.groupBy("class").agg(*sums).collect()}
+    while wide := {c: f for c, f in found.items() if f[0] < f[1]}:
+        low, high = (F.element_at(F.create_map(*[F.lit(x) for c, f in wide.items() for x in (c, f[i])]), F.col("class")) for i in (0, 1))
+        inside = scores.filter(F.col("class").isin(*wide)).filter(F.col("score").between(low, high))
+        cell = F.least(F.floor((F.col("score") - low) / (high - low) * cells), F.lit(cells - 1)).alias("cell")
+        left = {c: rank for c, (_, _, rank) in wide.items()}
+        for r in sorted(inside.groupBy("class", cell).agg(*sums).collect()):
+            if 0 < left[r["class"]] <= r.n:
+                found[r["class"]] = (r.low, r.high, left[r["class"]])
+            left[r["class"]] -= r.n
+    return {c: low for c, (low, _, _) in found.items()}
 
 
 def rejects(text: Column, lang_pred: Column, score: Column, medians: dict[int, float], share: float = LEAST_SHARE, noise: float = NOISE, dim: int = DIM) -> Column:

@@ -710,6 +710,26 @@ def test_language_rejects_by_score(spark):
     assert {r.doc_id for r in judged.filter(~langid.rejects(F.col("text"), F.col("lang_pred"), F.col("score"), {})).collect()} >= {3}
 
 
+def test_expected_scores_are_of_all_texts(spark):
+    """More texts than 65,536, whose scores are all different: every one of them counts, and the medians are exact."""
+    proto = langid.learn(spark.createDataFrame([("the quick brown fox jumps over the lazy dog", "en")], "text string, lang string"))
+    words = F.concat(F.lit("the "), F.translate(F.hex(F.xxhash64("id")), "0123456789", "ghijklmnop"))
+    texts = spark.range(70_000, numPartitions=4).select(F.when(F.col("id") < 69_990, words).otherwise(F.repeat(words, (F.col("id") - 69_980).cast("int"))).alias("text"))
+    scores = defaultdict(list)
+    for r in langid.identify(texts, proto).collect():
+        scores[sum(map(str.isalpha, r.text)).bit_length() - 1].append(r.score)
+    want = {c: sorted(s)[(len(s) - 1) // 2] for c, s in scores.items()}
+    assert len(want) > 2 and langid.expected(texts, proto) == pytest.approx(want, abs=1e-12)
+
+
+def test_medians_like_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(1, rng.random()) for _ in range(2001)] + [(2, 0.5 + k * 2**-53) for k in range(7)] + [(3, 0.0), (3, 1.0), (4, 0.25)] + [(5, x) for x in (0.1, 0.9, 0.9, 0.9)] + [(6, 0.3)] * 40
+    want = {c: sorted(s for k, s in rows if k == c)[(sum(k == c for k, _ in rows) - 1) // 2] for c in range(1, 7)}
+    scores = spark.createDataFrame(rows, "class int, score double").repartition(5)
+    assert langid.medians_of(scores) == langid.medians_of(scores, 2) == want and langid.medians_of(scores.limit(0)) == {}
+
+
 def test_grams():
     code, owner = langid.grams_of(["Ab c", "", "!d"], 3, {})
     spell = lambda c: "".join(chr(int(c) >> 21 * i & 0x1FFFFF) for i in (2, 1, 0))
